@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, tokens
+from . import media, packing, quality_rules, tokens
 
 
 def queries():
     return {
+        "op1_media": media.op1_media,
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_packing": packing.op5_packing,
     }
 
