@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, packing, quality_rules, tokens
+from . import media, mixing, packing, quality_rules, sharding, tokens
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op2_token_counts": tokens.op2_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_packing": packing.op5_packing,
+        "op6_sharding": sharding.op6_sharding,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
