@@ -21,32 +21,33 @@ MIN_KEPT_PERCENT = 50
 MAX_LINE_SYMBOL_PERCENT = 8
 #: Phrases that mark boilerplate lines, lower case.
 BOILERPLATE = ("all rights reserved", "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign in", "subscribe to", "powered by")
+NAVIGATION_MARKS = "|»›>·•"
 NAVIGATION = r"(^|\s)(\||»|›|>|·|•)(\s|$)"
 
 
-def repeated_window_words(words: Column, n_words: Column) -> Column:
-    """Words that lie in a three-word window which occurs twice or more among the windows of the row.
-
-    Windows are keyed by the upper bits of their 64-bit hash with their position in the lower bits, so that one sort
-    of a long array brings equal windows together; neighbours with equal keys count only if their words are equal.
-    """
-    bits = F.greatest(F.ceil(F.log2(F.greatest(n_words, F.lit(2)).cast("double"))), F.lit(1)).cast("int") + 1
+def window_hashes(words: Column, n_words: Column) -> Column:
+    """A 64-bit hash of every window of three words; none for fewer than four words (nothing can repeat)."""
+    at = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(3)))
+    return F.when(n_words >= 4, F.transform(F.sequence(F.lit(0), n_words - 3), at)).otherwise(F.array().cast("array<bigint>"))
 
-    def at(i: Column, k: int) -> Column:
-        return F.get(words, (i + k).cast("int"))
 
-    def key(i: Column) -> Column:
-        h = F.xxhash64(at(i, 0), at(i, 1), at(i, 2))
-        return F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits).bitwiseOR(i)
+def repeated_window_words(words: Column, n_words: Column, hashes: Column) -> Column:
+    """Words that lie in a three-word window which occurs twice or more among the windows of the row.
 
+    Rows whose windows all differ, the most, end at the count of distinct hashes. Else the windows are keyed by the
+    upper bits of their hash with their position in the lower bits, so that one sort of a long array brings equal
+    windows together; neighbours with equal keys count only if their words are equal.
+    """
+    bits = F.ceil(F.log2(F.greatest(n_words, F.lit(2)).cast("double"))).cast("int") + 1
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    keys = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), (n_words - 3).cast("long")), key))
+    cut = lambda x: F.call_function("shiftright", x, bits)
+    keys = F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", cut(h), bits).bitwiseOR(i.cast("long"))))
 
     def same(x: Column, y: Column) -> Column:
-        i, j = x.bitwiseAND(mask), y.bitwiseAND(mask)
-        equal = F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
+        i, j = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
+        equal = cut(x) == cut(y)
         for k in range(3):
-            equal = equal & (at(i, k) == at(j, k))
+            equal = equal & (F.get(words, i + k) == F.get(words, j + k))
         return F.coalesce(equal, F.lit(False))
 
     def covered(keys: Column) -> Column:
@@ -57,64 +58,62 @@ def repeated_window_words(words: Column, n_words: Column) -> Column:
         return total["n"]
 
     # transform over a one-element array binds the sorted keys to a name, so that they are sorted once a row.
-    return F.when(n_words >= 4, F.transform(F.array(keys), covered)[0]).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(F.transform(F.array(keys), covered)[0])
 
 
 def _share(part: Column, whole: Column, percent: int) -> Column:
     return part * 100 > whole * percent
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line (with a word) that breaks one of the rules; blank lines never fail."""
-    bare = F.trim(line, F.lit(rows.SPACES))
-    size = F.length(bare)
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(bare, r"[^\p{Lu}]+", ""))
-    symbols = size - F.length(F.translate(bare, SYMBOLS, ""))
-    marks = size - F.length(F.translate(bare, "!", ""))
-    low = F.lower(bare)
+def _count(line: Column, characters: str) -> Column:
+    return F.length(line) - F.length(F.translate(line, characters, ""))
+
+
+def line_fails(bare: Column) -> Column:
+    """True for a trimmed line that breaks one of the rules; empty lines never fail. Cheap tests guard dear ones."""
+    size, low = F.length(bare), F.lower(bare)
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
         boiler = boiler | low.contains(phrase)
-    navigation = F.size(F.split(bare, NAVIGATION, -1)) > 3
-    ended = bare.rlike(r"[.!?:;,…\"”’»)\]]$")
-    short = F.size(F.split(bare, rows.GAP, -1)) < 3
+    marks = _count(bare, "!")
     return (bare != "") & (
-        _share(symbols, size, MAX_LINE_SYMBOL_PERCENT) | navigation | ((letters >= 8) & _share(capitals, letters, 60)) | (_share(marks, size, 4) & (marks > 2)) | (boiler & (size < 200)) | (~ended & short)
+        _share(_count(bare, SYMBOLS), size, MAX_LINE_SYMBOL_PERCENT)
+        | ((marks > 2) & _share(marks, size, 4))
+        | ((size >= 8) & (bare == F.upper(bare)) & (bare != low))
+        | ((_count(bare, NAVIGATION_MARKS) > 2) & (F.size(F.split(bare, NAVIGATION, -1)) > 3))
+        | ((size < 200) & boiler)
+        | ((size < 80) & ~bare.rlike(r"[.!?:;,…\"”’»)\]]$") & (F.size(F.split(bare, rows.GAP, -1)) < 3))
     )
 
 
 def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
     """Columns of df, then cleaned (the kept lines), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_failed_lines, base_failed, kept.
 
-    A line also fails when it repeats an earlier line of at least three words. kept is false for base_failed, and when
-    the kept lines hold under MIN_KEPT_PERCENT of the non-space characters. Null and empty texts have no words, hence
-    base_failed. Columns of df with one of these names are replaced. Rows are judged one by one, so null keys, ties
-    and repeated rows need no rule.
+    A line also fails when it repeats an earlier kept line of at least three words. kept is false for base_failed, and
+    when the kept lines hold under MIN_KEPT_PERCENT of the non-space characters. Null and empty texts have no words,
+    hence base_failed. Columns of df with one of these names are replaced. Rows are judged one by one, so null keys,
+    ties and repeated rows need no rule.
     """
     own = ("cleaned", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "base_failed", "kept")
     base = df.drop(*(c for c in own if c != text)).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     bare = lambda c: F.length(F.translate(c, rows.SPACES, ""))
     parts = base.withColumns({"_w": rows.words(F.col("_t")), "_l": F.split("_t", "\n", -1)})
-    full = F.filter("_l", lambda x: F.trim(x, F.lit(rows.SPACES)) != "")
+    parts = parts.withColumns({"_h": window_hashes(F.col("_w"), F.size("_w")), "_b": F.transform("_l", lambda x: F.trim(x, F.lit(rows.SPACES)))})
     counts = parts.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
             "word_chars": bare(F.col("_t")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-            "n_repeat_words": repeated_window_words(F.col("_w"), F.size("_w")),
-            "_full": full,
+            "n_symbols": _count(F.col("_t"), SYMBOLS).cast("long"),
+            "n_repeat_words": repeated_window_words(F.col("_w"), F.size("_w"), F.col("_h")),
+            "_full": F.filter("_l", lambda x, i: F.get("_b", i) != ""),
+            "_ok": F.filter("_l", lambda x, i: ~line_fails(F.get("_b", i))),
         }
     )
-    fails = F.filter("_l", lambda x: ~line_fails(x))
-    kept = counts.withColumns({"n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"), "_ok": fails})
+    counts = counts.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
     # Repeats among kept lines: the later ones of equal lines with three words or more go.
-    once = F.when(
-        F.col("n_dup_lines") > 0,
-        F.filter("_ok", lambda x, i: (F.size(F.split(F.trim(x, F.lit(rows.SPACES)), rows.GAP, -1)) < 3) | (F.array_position(F.col("_ok"), x) == i + 1)),
-    ).otherwise(F.col("_ok"))
-    kept = kept.withColumn("_kept", once)
-    out = kept.withColumns(
+    three = lambda x: F.size(F.split(F.trim(x, F.lit(rows.SPACES)), rows.GAP, -1)) >= 3
+    once = F.when(F.col("n_dup_lines") > 0, F.filter("_ok", lambda x, i: (F.array_position(F.col("_ok"), x) == i + 1) | ~three(x))).otherwise(F.col("_ok"))
+    out = counts.withColumn("_kept", once).withColumns(
         {
             "cleaned": F.array_join("_kept", "\n"),
             "n_lines": F.size("_full").cast("long"),
@@ -123,7 +122,7 @@ def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
         }
     )
     verdict = ~F.col("base_failed") & (bare(F.col("cleaned")) * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT)
-    return out.withColumn("kept", verdict).drop("_t", "_w", "_l", "_full", "_ok", "_kept")
+    return out.withColumn("kept", verdict).drop("_t", "_w", "_l", "_b", "_h", "_full", "_ok", "_kept")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
