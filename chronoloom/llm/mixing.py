@@ -25,6 +25,8 @@ SEED = 17
 #: Words in a block, about, until a source has MAX_BLOCKS of them; then its blocks grow.
 BLOCK_WORDS = 1 << 16
 MAX_BLOCKS = 4096
+#: Words in one exchange partition of the mixed rows, about.
+PART_WORDS = 4_000_000
 #: The per-source plan is made on the driver; more sources than this are refused.
 MAX_SOURCES = 20_000
 #: Rows of the block table up to which it is broadcast; a larger one is joined by a shuffle.
@@ -95,7 +97,7 @@ def _sized(df: DataFrame, key: str, text: str, source: str, seed: int) -> DataFr
     return base.withColumn("_u", _hash(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_size").cast("string")))
 
 
-def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, **options) -> DataFrame:
     """Columns of df, then size, source_size, target, taken and shards: an array with the shard of every copy taken.
 
     A source's whole passes take each of its rows once more; the remaining part of its target takes whole permuted
@@ -104,6 +106,11 @@ def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
     target follows the same rule. Rows that agree in key and size are taken alike. An empty table gives an empty
     result. Columns of df with one of the new names are replaced. The same rows give the same result in every run.
     """
+    return _planned(df, weights, **options)[0]
+
+
+def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, int]:
+    """plan_mix(), and the words of all sources."""
     df = df.drop("size", "source_size", "target", "taken", "shards")
     spark = df.sparkSession
     sized = _sized(df, key, text, source, seed)
@@ -158,18 +165,20 @@ def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
     joined = blocked(sized, F.col(source)).join(table, ["_sid", "_block"])
     copies = F.col("_passes") + F.when(F.col("_u") <= F.col("_cut"), 1).otherwise(0)
     names = [F.col(f"`{c}`") for c in df.columns]
-    return joined.select(*names, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * copies).alias("taken"), F.slice("_homes", F.lit(1), copies).alias("shards"), F.col("_u").alias("_order"))
+    full = joined.select(*names, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * copies).alias("taken"), F.slice("_homes", F.lit(1), copies).alias("shards"), F.col("_u").alias("_order"))
+    return full, sum(s.size for s in plan)
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, seed: int = SEED, sub: int = 8, **options) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, seed: int = SEED, part_words: int = PART_WORDS, **options) -> DataFrame:
     """The mixed rows: columns of df and shard, once for each copy, in each shard in an order of their own.
 
-    Shards are dealt in `sub` parts each by the rows' hash, so that a task holds a part of a shard, and sorted there.
+    A shard of more than `part_words` words is dealt in several parts by the rows' hash, and each part sorted there.
     """
-    planned = plan_mix(df, weights, seed=seed, **options)
+    planned, words = _planned(df, weights, seed=seed, **options)
     names = [c for c in df.columns if c not in ("shard", "shards", "size", "source_size", "target", "taken")]
     drawn = planned.select(*[F.col(f"`{c}`") for c in names], F.posexplode("shards").alias("_copy", "shard"), "_order")
     shards = options.get("shards", SHARDS)
+    sub = max(1, -(-words // (shards * part_words)))
     spot = F.xxhash64(F.lit(seed), "_order", "_copy")
     return drawn.withColumn("_spot", spot).repartitionById(shards * sub, F.expr(f"int(shard * {sub} + pmod(_spot, {sub}))")).sortWithinPartitions("_spot").drop("_spot", "_copy", "_order")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality_rules, sharding, tokens
+import corpus_pipeline
+
+from . import licenses, line_dedup, media, mixing, near_dedup, packing, quality_model, quality_rules, sharding, tokens
 
 
 def queries():
@@ -10,11 +12,18 @@ def queries():
         "op1_media": media.op1_media,
         "op2_token_counts": tokens.op2_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_packing": packing.op5_packing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_mixing": mixing.op8_mixing,
+        "op9_quality_classifier": quality_model.op9_quality_classifier,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op7_line_dedup": line_dedup.OP7_SQL,
+    }
