@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import define, q_edges, q_sampling  # noqa: F401  each module registers its queries
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+def queries():
+    return dict(define.QUERIES)
 
 
-def queries() -> dict[str, Query]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql():
+    return dict(define.ORACLES)
