@@ -66,7 +66,18 @@ def _share(part: Column, whole: Column, percent: int) -> Column:
 
 
 def _count(line: Column, characters: str) -> Column:
-    return F.length(line) - F.length(F.translate(line, characters, ""))
+    """How many of these ASCII characters there are. (Replacing whole bytes is far cheaper than translate().)"""
+    rest = line
+    for c in characters:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return F.octet_length(line) - F.octet_length(rest)
+
+
+def _holds(line: Column, characters: str) -> Column:
+    found = F.lit(False)
+    for c in characters:
+        found = found | line.contains(c)
+    return found
 
 
 def line_fails(bare: Column) -> Column:
@@ -80,7 +91,7 @@ def line_fails(bare: Column) -> Column:
         _share(_count(bare, SYMBOLS), size, MAX_LINE_SYMBOL_PERCENT)
         | ((marks > 2) & _share(marks, size, 4))
         | ((size >= 8) & (bare == F.upper(bare)) & (bare != low))
-        | ((_count(bare, NAVIGATION_MARKS) > 2) & (F.size(F.split(bare, NAVIGATION, -1)) > 3))
+        | (_holds(bare, NAVIGATION_MARKS) & (F.size(F.split(bare, NAVIGATION, -1)) > 3))
         | ((size < 200) & boiler)
         | ((size < 80) & ~bare.rlike(r"[.!?:;,…\"”’»)\]]$") & (F.size(F.split(bare, rows.GAP, -1)) < 3))
     )
@@ -96,13 +107,12 @@ def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
     """
     own = ("cleaned", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "base_failed", "kept")
     base = df.drop(*(c for c in own if c != text)).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    bare = lambda c: F.length(F.translate(c, rows.SPACES, ""))
     parts = base.withColumns({"_w": rows.words(F.col("_t")), "_l": F.split("_t", "\n", -1)})
     parts = parts.withColumns({"_h": window_hashes(F.col("_w"), F.size("_w")), "_b": F.transform("_l", lambda x: F.trim(x, F.lit(rows.SPACES)))})
     counts = parts.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": bare(F.col("_t")).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": _count(F.col("_t"), SYMBOLS).cast("long"),
             "n_repeat_words": repeated_window_words(F.col("_w"), F.size("_w"), F.col("_h")),
             "_full": F.filter("_l", lambda x, i: F.get("_b", i) != ""),
@@ -121,7 +131,8 @@ def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
             "base_failed": (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT),
         }
     )
-    verdict = ~F.col("base_failed") & (bare(F.col("cleaned")) * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT)
+    left = F.length(F.regexp_replace("cleaned", rows.GAP, ""))
+    verdict = ~F.col("base_failed") & ((F.col("n_failed_lines") == 0) | (left * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT))
     return out.withColumn("kept", verdict).drop("_t", "_w", "_l", "_b", "_h", "_full", "_ok", "_kept")
 
 
