@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import define, q_edges, q_sampling  # noqa: F401  each module registers its queries
+from . import define, q_edges, q_partition, q_sampling, q_stats, q_windows  # noqa: F401  each module registers its queries
 
 
 def queries():
