@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 Matrix = list[list[float]]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
@@ -21,8 +26,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def linear(x: Column, w: Matrix, bias: list[float] | None = None) -> Column:
     """x W + b for a weight matrix with one row for each input."""
-    cols = [total([F.get(x, F.lit(i)) * F.lit(row[j]) for i, row in enumerate(w)]) + F.lit(bias[j] if bias else 0.0) for j in range(len(w[0]))]
-    return F.array(*cols)
+    cols = lambda x: [total([F.get(x, F.lit(i)) * F.lit(row[j]) for i, row in enumerate(w)]) + F.lit(bias[j] if bias else 0.0) for j in range(len(w[0]))]
+    return let(x, lambda x: F.array(*cols(x)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -49,15 +54,18 @@ def silu(x: Column) -> Column:
     return x * sigmoid(x)
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    powers = let(x, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return let(powers, lambda e: let(_sum(e), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    mean = F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x)
-    var = F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, b: a + b) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    centred = let(x, lambda x: let(_sum(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean)))
+    return let(centred, lambda c: let(F.sqrt(_sum(F.transform(c, lambda v: v * v)) / F.size(c) + eps), lambda s: F.transform(c, lambda v: v / s)))
 
 
 def time_encode(t: Column, d: int) -> Column:
@@ -77,20 +85,31 @@ def nan_to_num(x: Column) -> Column:
 def gru_cell(x: Column, h: Column, gates: Matrix, candidate: Matrix) -> Column:
     """z, r = sigmoid([x h] gates); n = tanh([x, r h] candidate); (1 - z) n + z h."""
     d = len(candidate[0])
-    g = F.transform(linear(F.concat(x, h), gates), sigmoid)
-    z, r = F.slice(g, 1, d), F.slice(g, d + 1, d)
-    n = F.transform(linear(F.concat(x, F.zip_with(r, h, lambda a, b: a * b)), candidate), F.tanh)
-    return F.zip_with(F.zip_with(z, n, lambda a, b: (1 - a) * b), F.zip_with(z, h, lambda a, b: a * b), lambda a, b: a + b)
 
+    def with_gates(x: Column, h: Column, g: Column) -> Column:
+        z, r = F.slice(g, 1, d), F.slice(g, d + 1, d)
+        n = F.transform(linear(F.concat(x, F.zip_with(r, h, lambda a, b: a * b)), candidate), F.tanh)
+        return F.zip_with(F.zip_with(z, n, lambda a, b: (1 - a) * b), F.zip_with(z, h, lambda a, b: a * b), lambda a, b: a + b)
 
-def lstm_cell(x: Column, h: Column, c: Column, gates: Matrix) -> tuple[Column, Column]:
-    """i, f, o = sigmoid, g = tanh of [x h] gates; c' = f c + i g; h' = o tanh(c')."""
+    return let(x, lambda x: let(h, lambda h: let(F.transform(linear(F.concat(x, h), gates), sigmoid), lambda g: with_gates(x, h, g))))
+
+
+def lstm_state(x: Column, h: Column, c: Column, gates: Matrix) -> Column:
+    """struct(h, c): i, f, o = sigmoid, g = tanh of [x h] gates; c' = f c + i g; h' = o tanh(c')."""
     d = len(gates[0]) // 4
-    g = linear(F.concat(x, h), gates)
-    part = lambda k, f: F.transform(F.slice(g, k * d + 1, d), f)
-    i, f, o, n = part(0, sigmoid), part(1, sigmoid), part(2, sigmoid), part(3, F.tanh)
-    c2 = F.zip_with(F.zip_with(f, c, lambda a, b: a * b), F.zip_with(i, n, lambda a, b: a * b), lambda a, b: a + b)
-    return F.zip_with(o, c2, lambda a, b: a * F.tanh(b)), c2
+
+    def next_state(g: Column) -> Column:
+        part = lambda k, f: F.transform(F.slice(g, k * d + 1, d), f)
+        kept = F.zip_with(part(1, sigmoid), c, lambda a, b: a * b)
+        c2 = F.zip_with(kept, F.zip_with(part(0, sigmoid), part(3, F.tanh), lambda a, b: a * b), lambda a, b: a + b)
+        return let(c2, lambda c2: F.struct(F.zip_with(part(2, sigmoid), c2, lambda a, b: a * F.tanh(b)).alias("h"), c2.alias("c")))
+
+    return let(linear(F.concat(x, h), gates), next_state)
+
+
+def lstm_cell(x: Column, h: Column, c: Column, gates: Matrix) -> tuple[Column, Column]:
+    state = lstm_state(x, h, c, gates)
+    return state["h"], state["c"]
 
 
 def weights(rows: int, cols: int, seed: int = 0) -> Matrix:

@@ -87,8 +87,5 @@ def lstm_over_snapshots(rows: DataFrame, gates: V.Matrix, d: int) -> DataFrame:
     zero = F.array(*[F.lit(0.0)] * d)
     start = F.struct(zero.alias("h"), zero.alias("c"))
 
-    def step(a: Column, r: Column) -> Column:
-        h, c = V.lstm_cell(r["x"], a["h"], a["c"], gates)
-        return F.struct(h.alias("h"), c.alias("c"))
-
+    step = lambda a, r: V.lstm_state(r["x"], a["h"], a["c"], gates)
     return seq.select("node", F.aggregate("s", start, step)["h"].alias("h"))
