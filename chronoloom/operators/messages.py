@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 
 def gcn_norm(edges: DataFrame, kind: str = "graph") -> DataFrame:
@@ -69,6 +70,15 @@ def attention_layer(edges: DataFrame, features: DataFrame, wq: V.Matrix, wk: V.M
     return sums.select(F.col("dst").alias("node"), out.alias("_x")).select("node", V.layer_norm(F.col("_x")).alias("x"))
 
 
+def graph_attention(edges: DataFrame, features: DataFrame, layers: list[tuple[V.Matrix, V.Matrix, V.Matrix, V.Matrix]]) -> DataFrame:
+    """Attention layers with ReLU between. A layer reads its input three times, so each output is written once."""
+    for i, (wq, wk, wv, wo) in enumerate(layers):
+        features = attention_layer(edges, features, wq, wk, wv, wo)
+        if i < len(layers) - 1:
+            features = cut_lineage(features.withColumn("x", F.transform("x", V.relu)))
+    return features
+
+
 def input_select(nodes: DataFrame, fresh: DataFrame, fallback: DataFrame) -> DataFrame:
     """Features of nodes from `fresh` where present, else from `fallback`."""
     a, b = fresh.select("node", F.col("x").alias("_a")), fallback.select("node", F.col("x").alias("_b"))

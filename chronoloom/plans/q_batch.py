@@ -181,7 +181,7 @@ def _(t: Tables):
     return X.hit_rate(t.purchase_edges().select(F.col("src").alias("node")), X.cache_topk(scores(t), 100))
 
 
-@query("overlap_rate", EDGES + ", s AS (SELECT ts // 100 AS step, sum(w) AS compute, 50.0::DOUBLE * count(DISTINCT src) AS loading FROM e GROUP BY 1) SELECT step, compute, loading AS "fetch", least(compute, loading) / greatest(compute, loading) AS rate FROM s")
+@query("overlap_rate", EDGES + ", s AS (SELECT ts // 100 AS step, sum(w) AS compute, 50.0::DOUBLE * count(DISTINCT src) AS loading FROM e GROUP BY 1) SELECT step, compute, loading AS \"fetch\", least(compute, loading) / greatest(compute, loading) AS rate FROM s")
 def _(t: Tables):
     per = t.purchase_edges().groupBy(F.expr("ts div 100").alias("step")).agg(F.sum("w").alias("compute"), (F.countDistinct("src") * 50.0).alias("fetch"))
     return X.overlap_rate(per)

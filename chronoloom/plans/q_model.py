@@ -200,11 +200,7 @@ def _(t: Tables):
 @query("graph_attention")
 def _(t: Tables):
     e = E.reverse_edges(t.purchase_edges().withColumn("dt", F.lit(4000) - F.col("ts")))
-    x = features2(t, e)
-    for _ in range(2):
-        x = M.attention_layer(e, x, WQ, WK, WV, WO)
-        x = x.withColumn("x", F.transform("x", V.relu))
-    return rounded(x, "x", 2, digits=4)
+    return rounded(M.graph_attention(e, features2(t, e), [(WQ, WK, WV, WO)] * 2), "x", 2, digits=4)
 
 
 @query("input_select", NODES + FEATS + " SELECT node, round(CASE WHEN node % 4 = 0 THEN x0 ELSE x1 END, 6) AS x, node % 4 <> 0 AS fell_back FROM ft")

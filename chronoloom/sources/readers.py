@@ -55,7 +55,9 @@ def _lines(spark: SparkSession, path: str, skip: int) -> DataFrame:
     first = F.col("_metadata.file_block_start") == 0
     here = lines.select("value", first.alias("_first"), F.monotonically_increasing_id().alias("_i"))
     drop = here.filter("_first").groupBy().agg(F.min("_i").alias("_b"))
-    return here.crossJoin(F.broadcast(drop)).filter(~(F.col("_first") & (F.col("_i") < F.col("_b") + len(head)))).select("value")  # one row
+    # Null rather than filtered at once: what follows then depends on the join and is not evaluated on lines before it.
+    value = F.when(F.col("_first") & (F.col("_i") < F.col("_b") + len(head)), F.lit(None)).otherwise(F.col("value"))
+    return here.crossJoin(F.broadcast(drop)).select(value.alias("value")).filter("value IS NOT NULL")  # one row
 
 
 def scan_edges_ws(spark: SparkSession, path: str, skip: int = 2, sep: str = r"\s+") -> DataFrame:
@@ -63,10 +65,11 @@ def scan_edges_ws(spark: SparkSession, path: str, skip: int = 2, sep: str = r"\s
     part = F.filter(F.split(F.trim("value"), sep), lambda x: x != "")
     rows = _lines(spark, path, skip).filter(F.trim("value") != "").withColumn("_p", part).filter(F.size("_p") >= 2)
     n = F.size("_p")
-    checked = F.assert_true((n == 3) | (n == 4), F.lit("edge lines have three or four columns"))
     field = lambda i: F.get("_p", F.lit(i))
-    kept = rows.withColumn("_ok", checked).filter(F.col("_ok").isNull())
-    return kept.select(field(0).cast("long").alias("src"), field(1).cast("long").alias("dst"), F.when(n == 4, field(2).cast("double")).otherwise(F.lit(1.0)).alias("w"), F.when(n == 4, field(3)).otherwise(field(2)).cast("double").cast("long").alias("time"))
+    # Raised where the columns are made, so that only lines that are kept are judged.
+    other = F.raise_error(F.lit("edge lines have three or four columns")).cast("string")
+    w = F.when(n == 4, field(2)).when(n == 3, F.lit("1")).otherwise(other)
+    return rows.select(field(0).cast("long").alias("src"), field(1).cast("long").alias("dst"), w.cast("double").alias("w"), F.when(n == 4, field(3)).otherwise(field(2)).cast("double").cast("long").alias("time"))
 
 
 def scan_snapshots(spark: SparkSession, path: str, preset: Preset) -> DataFrame:
