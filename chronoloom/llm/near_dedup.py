@@ -4,8 +4,9 @@
 2. Equal sets form a class with the smallest id as representative; only representatives go on.
 3. Buckets of equal band keys. Each bucket's smallest id is compared with its members (a star, not all pairs), links
    are confirmed on the full sets, and components are built from them.
-4. Buckets whose members still lie in several components: pairs across components that no star has compared are
-   confirmed, too. So every pair that shares a bucket is either confirmed, refuted, or connected already.
+4. Buckets whose members still lie in several components: their pairs across components are confirmed, too, pair by
+   pair in small buckets, block against block in larger ones. So every pair that shares a bucket is either confirmed,
+   refuted, or connected already.
 5. Every row gets its class's component.
 """
 
@@ -23,6 +24,9 @@ PERCENT = 75
 #: At a similarity of 0.75 a pair shares none of the bands with probability (1 - 0.75**6)**60, below 1 in 100,000.
 BANDS = 60
 ROWS = 6
+#: Buckets of up to SMALL members are compared as pairs, larger ones in blocks of BLOCK members.
+SMALL = 12
+BLOCK = 256
 #: Ids up to which the texts of candidates are found by a broadcast of these ids; beyond, by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -50,17 +54,19 @@ def sketches(df: DataFrame, *, key: str, text: str, bands: int, rows_: int, word
     return rows.arrow_map(df.select(F.col(key).alias("id"), text), run, f"id {kind}, n long, f0 long, f1 long, bands array<long>")
 
 
+def texts_of(ids: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """id, t: the texts of these ids (distinct); repeated rows count once."""
+    n = ids.count()
+    wanted = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
+    return wanted.groupBy("id", F.xxhash64(text).alias("_h")).agg(F.first(text).alias("t")).select("id", "t")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, *, text: str, percent: int, words: int) -> DataFrame:
     """Of pairs(a, b) those whose full shingle sets meet the threshold."""
     pairs = rows.checkpoint(pairs)
     ids = rows.checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.lit(1).alias("one")).select("id"))
-    n = ids.count()
-    if not n:
-        return pairs
-    wanted = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-    # Repeated rows count once.
-    wanted = rows.checkpoint(wanted.groupBy("id", F.xxhash64(text).alias("_h")).agg(F.first(text).alias("_t")).select("id", "_t"))
-    both = pairs.join(wanted.select(F.col("id").alias("b"), F.col("_t").alias("tb")), "b").join(wanted.select(F.col("id").alias("a"), F.col("_t").alias("ta")), "a").select("a", "b", "ta", "tb")
+    wanted = rows.checkpoint(texts_of(ids, texts, text))
+    both = pairs.join(wanted.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(wanted.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         last, own = None, None
@@ -77,6 +83,63 @@ def confirm(pairs: DataFrame, texts: DataFrame, *, text: str, percent: int, word
     return rows.arrow_map(both, run, f"a {kind}, b {kind}").distinct()
 
 
+def confirm_blocks(members: DataFrame, bands: DataFrame, texts: DataFrame, *, text: str, percent: int, words: int, block: int = BLOCK) -> DataFrame:
+    """members(bucket, id, n, label, m) of large buckets: linked labels (a, b) of pairs across components.
+
+    A bucket is cut into ceil(m / block) blocks by hash, and every pair of blocks is one task's group, at most twice
+    `block` documents; so rows grow with m * m / block, not with m * m. A pair that shares several buckets is compared
+    in the first of them.
+    """
+    parts = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    spread = members.withColumn("_b", own).withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1)))
+    spread = spread.select("bucket", F.least("_b", "_p").alias("i"), F.greatest("_b", "_p").alias("j"), F.col("_b").alias("own"), "id", "n", "label")
+    wanted = rows.checkpoint(texts_of(rows.checkpoint(members.select("id").distinct()), texts, text).join(bands.select("id", "bands"), "id"))
+    kind = members.schema["label"].dataType.simpleString()
+
+    def run(key, frame):
+        import pandas as pd
+
+        bucket, i, j = key
+        n, label, side = (frame[c].to_numpy() for c in ("n", "label", "own"))
+        keys = np.stack(frame["bands"].to_list())
+        left = np.flatnonzero(side == i)
+        right = left if i == j else np.flatnonzero(side == j)
+        big, small = np.maximum(n[left][:, None], n[right]), np.minimum(n[left][:, None], n[right])
+        ask = (label[left][:, None] != label[right]) & (small * 100 >= big * percent)
+        if i == j:
+            ask &= np.arange(len(left))[:, None] < np.arange(len(right))
+        x, y = np.nonzero(ask)
+        if len(x):
+            equal = keys[left[x]] == keys[right[y]]
+            first = equal.argmax(axis=1)
+            mine = keys[left[x], first] == bucket
+            x, y = x[mine], y[mine]
+        if not len(x):
+            return pd.DataFrame({"a": label[:0], "b": label[:0]})
+        docs = np.unique(np.concatenate((left[x], right[y])))
+        sets = {d: shingle_set(frame["t"].iloc[d].encode(), words) for d in docs}
+        lengths = np.array([len(sets[d]) for d in docs])
+        where = np.unique(np.concatenate([sets[d] for d in docs]), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(docs)), lengths)
+        order = np.argsort(where, kind="stable")
+        where, row = where[order], row[order]
+        both = np.zeros((len(docs), len(docs)), np.float32)
+        for start in range(0, int(where[-1]) + 1, 4096):  # a slice of the shingles at a time
+            lo, hi = np.searchsorted(where, (start, start + 4096))
+            piece = np.zeros((len(docs), 4096), np.float32)
+            piece[row[lo:hi], where[lo:hi] - start] = 1
+            both += piece @ piece.T
+        u, v = np.searchsorted(docs, left[x]), np.searchsorted(docs, right[y])
+        inter = np.rint(both[u, v]).astype(np.int64)
+        good = (100 * inter >= percent * (lengths[u] + lengths[v] - inter)) & (inter > 0)
+        a, b = label[left[x[good]]], label[right[y[good]]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    grouped = spread.join(wanted, "id").select("bucket", "i", "j", "own", "id", "n", "label", "bands", "t")
+    return grouped.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id reachable over edges(a, b), for every id with an edge. Labels spread and jump."""
     both = rows.checkpoint(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
@@ -110,13 +173,15 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, *, bands: int = BANDS
     label = components(confirm(stars, texts, text=text, percent=percent, words=words))
     # What the stars left open.
     of = rows.checkpoint(members.join(label, "id", "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label")))
-    mixed = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).filter("x <> y AND m > 2").select("bucket")
-    rest = of.filter("id <> lead").join(mixed, "bucket")
-    one, two = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), rest.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    mixed = rows.checkpoint(of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).filter("x <> y AND m > 2").select("bucket", "m"))
+    rest = of.join(mixed, "bucket")
+    few = rest.filter((F.col("m") <= SMALL) & (F.col("id") != F.col("lead")))
+    one, two = few.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     cross = one.join(two, "bucket").filter((F.col("la") < F.col("lb")) & fit(F.col("na"), F.col("nb"))).select("a", "b", "la", "lb").distinct()
     cross = rows.checkpoint(cross)
     found = confirm(cross.select("a", "b"), texts, text=text, percent=percent, words=words)
-    joined = found.join(cross, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = found.join(cross, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = joined.union(confirm_blocks(rest.filter(F.col("m") > SMALL), classes, texts, text=text, percent=percent, words=words)).distinct()
     top = components(joined).select(F.col("id").alias("label"), F.col("label").alias("top"))
     final = label.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label")).unionByName(
         top.select(F.col("label").alias("id"), F.col("top").alias("label")).join(label, "id", "left_anti")
