@@ -43,12 +43,13 @@ def site_spread(df: DataFrame, min_sites: int = MIN_SITES, *, lg_k: int = LG_K,
     low, high = min(min_sites * (1 - error), min_sites - 0.5), max(min_sites * (1 + error), min_sites + 0.5)
     line = df.select(F.col(key).alias("_id"), F.col(site).cast("string").alias("_site"), F.explode(_lines(F.col(text))).alias("_l")).filter(_bare(F.col("_l")) != "")
     line = line.select("_id", "_site", line_key(F.col("_l")).alias("line"))
-    # One row a line and site before the sketches: a hot line reaches its sketch once from each site and task.
-    spread = line.groupBy("line").agg(F.hll_sketch_agg("_site", F.lit(lg_k)).alias("_sketch"), F.min("_id").alias("keeper"))
+    # One row a line and site first, so that a hot line reaches its sketch, or its exact count, once from each site.
+    spots = line.groupBy("line", "_site").agg(F.min("_id").alias("_id"))
+    spread = spots.groupBy("line").agg(F.hll_sketch_agg("_site", F.lit(lg_k)).alias("_sketch"), F.min("_id").alias("keeper"))
     spread = spread.select("line", "keeper", F.hll_sketch_estimate("_sketch").alias("_sites")).filter(F.col("_sites") >= low)
     spread = rows.checkpoint(spread)
     near = spread.filter(F.col("_sites") <= high).select("line")
-    exact = line.filter(F.col("_site").isNotNull()).join(near, "line", "left_semi").groupBy("line", "_site").agg(F.lit(1).alias("_one"))
+    exact = spots.filter(F.col("_site").isNotNull()).select("line").join(near, "line", "left_semi")
     exact = exact.groupBy("line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_sites).select("line")
     return spread.filter(F.col("_sites") > high).select("line", "keeper").unionByName(spread.filter(F.col("_sites") <= high).join(exact, "line", "left_semi").select("line", "keeper"))
 
