@@ -21,8 +21,9 @@ TOLERANCE = 0.002
 #: Bits of the key that one round resolves, and bits in each of the key's parts.
 ROUND_BITS = 12
 PART_BITS = 60
-#: Rows of one exchange partition, about; a shard of more rows is exchanged in several partitions, MAX_PARTS in all.
+#: Rows and bytes of one exchange partition, about; a larger shard is exchanged in several, MAX_PARTS in all.
 PART_ROWS = 250_000
+PART_BYTES = 64 << 20
 MAX_PARTS = 960
 #: A boundary inside a shard only evens out tasks: it may miss its target by this share of a partition.
 LOOSE = 0.3
@@ -142,7 +143,7 @@ def place(bounds: list[tuple[int, ...]]) -> Column:
     return search(0, len(values))
 
 
-def shard(df: DataFrame, shards: int = SHARDS, *, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(df: DataFrame, shards: int = SHARDS, *, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns of df, then size, shard, slot. Shards differ in bytes by `tolerance` of a shard and one row at most.
 
     size: UTF-8 bytes of the text (null: none) plus 8. slot counts gaplessly from 0 in each shard, in key order. Equal
@@ -155,8 +156,8 @@ def shard(df: DataFrame, shards: int = SHARDS, *, tolerance: float = TOLERANCE,
     k0, k1, k2 = key_parts(df, key, text)
     full = df.select("*", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), k0.alias("k0"), k1.alias("k1"), k2.alias("k2"))
     keys = rows.checkpoint(full.select("k0", "k1", "k2", "size"))  # a few bytes a row, read once a round
-    n_rows = keys.count()
-    fine = max(1, min(-(-n_rows // (shards * part_rows)), MAX_PARTS // shards))
+    n_rows, n_bytes = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    fine = max(1, min(max(-(-n_rows // (shards * part_rows)), -(-n_bytes // (shards * part_bytes))), MAX_PARTS // shards))
     split = find_splitters(keys, shards * fine, tolerance, fine)
     begin = [0, *split.rows_below[:-1]]
     first = [begin[i // fine * fine] for i in range(shards * fine)]
