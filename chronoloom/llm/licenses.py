@@ -111,14 +111,18 @@ def tokens(paragraph: str) -> list[str]:
     return [w for w in re.split(TOKEN, "".join(c.lower() if c.isascii() else c for c in paragraph)) if w]
 
 
+def runs(words: list[str], n: int) -> list[str]:
+    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
 def grams(words: list[str]) -> list[str]:
-    """Words and pairs of words with an anchor in them."""
+    """Words, and runs of two and three words, with an anchor in them."""
     known = set(ANCHORS)
-    return [w for w in words if w in known] + [f"{a} {b}" for a, b in zip(words, words[1:]) if a in known or b in known]
+    return [g for n in (1, 2, 3) for g in runs(words, n) if known & set(g.split(" "))]
 
 
 def pairs(words: list[str]) -> set[str]:
-    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+    return set(runs(words, 2))
 
 
 @functools.cache
@@ -179,8 +183,13 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     prints = F.broadcast(spark.createDataFrame([(f, sorted(pairs(tokens(t)))) for f, ts in TEMPLATES.items() for t in ts], "family string, pairs array<string>"))
     word = F.filter(F.split(F.lower("paragraph"), TOKEN), lambda w: w != "")
     seen = paragraphs.withColumn("_w", word)
-    seen = seen.withColumn("_p", F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1))))
-    gram = F.array_distinct(F.concat("_w", "_p"))
+
+    def run(n: int):
+        joined = lambda i: F.array_join(F.slice("_w", i, n), " ")
+        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), joined)).otherwise(F.array().cast("array<string>"))
+
+    seen = seen.withColumns({"_p": run(2), "_q": run(3)})
+    gram = F.array_distinct(F.concat("_w", "_p", "_q"))
     logit = [F.lit(bias[c]) + F.sum(F.col("w")[c]) for c in range(len(classes))]
     summed = seen.select("paragraph", F.explode(gram).alias("gram")).join(table, "gram").groupBy("paragraph").agg(*[x.alias(f"z{c}") for c, x in enumerate(logit)])
     top = F.greatest(*[F.col(f"z{c}") for c in range(len(classes))])

@@ -138,7 +138,7 @@ def test_quality_rules(spark, messy, nothing):
 
 def brute_family(line):
     classes, weights, bias = licenses.model()
-    seen = set(licenses.tokens(line)) | licenses.pairs(licenses.tokens(line))
+    seen = {g for n in (1, 2, 3) for g in licenses.runs(licenses.tokens(line), n)}
     z = np.array(bias)
     for g in seen & set(weights):
         z = z + np.array(weights[g])
