@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import licenses, line_dedup, media, mixing, near_dedup, packing, quality_model, quality_rules, sharding, tokens
+from . import licenses, line_dedup, media, mixing, near_dedup, packing, quality_model, quality_rules, sharding, sql, tokens
 
 
 def queries():
@@ -25,5 +25,7 @@ def queries():
 
 def oracle_sql():
     return {
-        "op7_line_dedup": line_dedup.OP7_SQL,
+        "op3_quality_rules": sql.OP3,
+        "op7_line_dedup": sql.OP7,
+        "op10_near_dedup": sql.OP10,
     }
