@@ -62,7 +62,8 @@ def attention_layer(edges: DataFrame, features: DataFrame, wq: V.Matrix, wk: V.M
     kv = F.concat("x", V.time_encode(F.col("dt").cast("double"), te))
     rows = rows.select("dst", "own", "eid", "q", V.linear(kv, wk).alias("k"), V.linear(kv, wv).alias("v"))
     d = len(wq[0])
-    scored = rows.withColumn("score", V.leaky_relu(V.dot(F.col("q"), F.col("k")) / (d**0.5)))
+    # The softmax reads the scores three times, so they are written once.
+    scored = cut_lineage(rows.select("dst", "own", "eid", "v", V.leaky_relu(V.dot(F.col("q"), F.col("k")) / (d**0.5)).alias("score")))
     soft = edge_softmax(scored)
     sums = soft.groupBy("dst").agg(F.first("own").alias("own"), *[F.sum(F.get("v", F.lit(i)) * F.col("alpha")).alias(f"_h{i}") for i in range(len(wv[0]))])
     h = F.array(*[F.col(f"_h{i}") for i in range(len(wv[0]))])

@@ -137,6 +137,12 @@ def _(t: Tables):
     return P.hash_partition(E.nodes(t.purchase_edges()), 4, seed=1)
 
 
+@query("intra_partition")
+def _(t: Tables):
+    inner = graph(t)[1].filter("part = 1")
+    return P.hash_partition(inner, 100, seed=2).withColumnRenamed("part", "chunk")
+
+
 @query("build_route", BOOK + " SELECT owner AS sender, part AS receiver, node, row_number() OVER (PARTITION BY owner, part ORDER BY node) - 1 AS ord FROM halo")
 def _(t: Tables):
     return P.send_lists(*graph(t))

@@ -137,6 +137,13 @@ def _(t: Tables):
     return S.khop_sample(E.reverse_edges(e), t.roots(), [5, 5]).select("layer", "node", "t", "nbr", "ts", "eid", "dt", "rank")
 
 
+@query("khop_sample", UNDIRECTED + " SELECT 0 AS layer, count(*)::BIGINT AS n, sum(eid)::BIGINT AS eid_sum, sum(dt)::BIGINT AS dt_sum FROM h0 UNION ALL SELECT 1, count(*)::BIGINT, sum(eid)::BIGINT, sum(dt)::BIGINT FROM h1")
+def _(t: Tables):
+    e = t.purchase_edges().select("eid", "src", "dst", "ts")
+    got = S.khop_sample(E.reverse_edges(e), t.roots(), [5, 5])
+    return got.groupBy("layer").agg(F.count("*").alias("n"), F.sum("eid").alias("eid_sum"), F.sum("dt").alias("dt_sum"))
+
+
 @query("khop_offsets_relative", UNDIRECTED + " SELECT h1.node, h1.t, count(*)::BIGINT AS n, max(h1.ts) AS last_ts, count(*) FILTER (h1.ts >= h1.t)::BIGINT AS violations FROM h1 GROUP BY 1, 2")
 def _(t: Tables):
     e = t.purchase_edges().select("eid", "src", "dst", "ts")

@@ -112,6 +112,24 @@ def _(t: Tables):
     return t.spark.read.parquet(path).select("part", "kind", "eid")
 
 
+@query("sink_neg_batches", NODES + " SELECT (dst % 4)::INT AS part, s::INT AS neg_set, count(*)::BIGINT AS n FROM e, (SELECT unnest(range(8)) AS s) GROUP BY 1, 2")
+def _(t: Tables):
+    path = folder(t, "negatives")
+    e = t.purchase_edges().withColumn("part", F.col("dst") % 4)
+    R.sink_batches(B.negatives(e, num_set=8, part="part").withColumn("kind", F.lit("neg")), path)
+    return t.spark.read.parquet(path).groupBy("part", "neg_set").agg(F.count("*").alias("n"))
+
+
+@query("sink_meta", EDGES + ", b AS (SELECT i::INT AS slot, 1000 + 500 * i AS ts_start, 1500 + 500 * i AS ts_end FROM (SELECT unnest(range(6)) AS i)) SELECT slot, ts_start::BIGINT AS ts_start, ts_end::BIGINT AS ts_end, count(e.eid)::BIGINT AS n FROM b LEFT JOIN e ON ts >= ts_start AND ts < ts_end GROUP BY 1, 2, 3")
+def _(t: Tables):
+    path = folder(t, "meta")
+    bounds = [1000 + 500 * i for i in range(7)]
+    e, perm = permutation(t)
+    R.sink_meta(perm, t.spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))], "slot int, ts_start long, ts_end long"), path)
+    counts = W.slot_assign(e, bounds).groupBy(F.col("slot").cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(f"{path}/slots").join(counts, "slot", "left").select("slot", "ts_start", "ts_end", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 @query("sink_context", BOOK + " SELECT part::INT AS part, count(*)::BIGINT AS nodes FROM book GROUP BY part")
 def _(t: Tables):
     from .q_partition import node_features
