@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +33,17 @@ def utf8_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return col.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches of about `limit` text bytes (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches of about `limit` text bytes (one row at least), which bounds a worker's arrays."""
     for batch in batches:
-        sizes = utf8_column(batch, text)
-        import pyarrow.compute as pc
-
-        lens = pc.binary_length(sizes).to_numpy(zero_copy_only=False)
+        col = batch.column(batch.schema.get_field_index(text))
+        lens = [0] * len(col) if pa.types.is_null(col.type) else pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lens):
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += int(n) + 1
+            held += n + 1
         if start < len(lens):
             yield batch.slice(start)
 
