@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rows
@@ -102,13 +102,26 @@ MIN_PROBABILITY = 0.6
 #: Share of a template's word pairs that a confirmed paragraph holds.
 MIN_TEMPLATE = 0.6
 TOKEN = r"[^a-z0-9]+"
+#: Lines that one notice may be wrapped over; a whole paragraph is tried as well.
+RUNS = (1, 2, 3, 4, 5, 6, 7, 8)
+#: White space, comment marks and comment words at the start of a line; a line of nothing else is blank.
+MARKS = r"(?md)^[^\p{L}\p{N}\n]*(?:(?:rem|REM|dnl)(?![\p{L}\p{N}]))?[^\p{L}\p{N}\n]*"
+#: A copyright line in normal form, and what stands for any year and holder.
+HOLDER = r"(?<![a-z0-9])(?:copyright (?:c |copy )?|(?:c|copy) (?=[0-9]{4} ))(?:[a-z0-9]+ ){0,20}?all rights reserved(?![a-z0-9])"
+ANY_HOLDER = "copyright c 2020 the authors all rights reserved"
 _ANCHOR_PATTERN = r"(?i)(?<![a-z0-9])(" + "|".join(ANCHORS) + r")(?![a-z0-9])"
 
 
 def tokens(paragraph: str) -> list[str]:
     import re
 
-    return [w for w in re.split(TOKEN, "".join(c.lower() if c.isascii() else c for c in paragraph)) if w]
+    words = [w for w in re.split(TOKEN, "".join(c.lower() if c.isascii() else c for c in paragraph)) if w]
+    return re.sub(HOLDER, ANY_HOLDER, " ".join(words)).split()
+
+
+def normal(paragraph: Column) -> Column:
+    """The tokens of a paragraph, joined by spaces."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(paragraph), TOKEN, " ")), HOLDER, ANY_HOLDER)
 
 
 def runs(words: list[str], n: int) -> list[str]:
@@ -176,13 +189,12 @@ def model(seed: int = 3, rounds: int = 400) -> tuple[tuple[str, ...], dict[str,
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs(paragraph), distinct: adds family, probability, confirmed. Unknown families are left out."""
+    """paragraphs(paragraph), distinct and in normal form: adds family, probability, confirmed. Unknown families are left out."""
     spark = paragraphs.sparkSession
     classes, weights, bias = model()
     table = F.broadcast(spark.createDataFrame([(g, list(w)) for g, w in weights.items()], "gram string, w array<double>"))  # n-grams of TEMPLATES
     prints = F.broadcast(spark.createDataFrame([(f, sorted(pairs(tokens(t)))) for f, ts in TEMPLATES.items() for t in ts], "family string, pairs array<string>"))
-    word = F.filter(F.split(F.lower("paragraph"), TOKEN), lambda w: w != "")
-    seen = paragraphs.withColumn("_w", word)
+    seen = paragraphs.withColumn("_w", F.split("paragraph", " "))
 
     def run(n: int):
         joined = lambda i: F.array_join(F.slice("_w", i, n), " ")
@@ -202,22 +214,54 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     return own.groupBy("paragraph", "family", "probability").agg((F.max(share) >= MIN_TEMPLATE).alias("confirmed"))
 
 
+def narrowest(runs: DataFrame) -> DataFrame:
+    """Runs s to e of lines of _k that hold no other run of their family."""
+    before = Window.partitionBy("_k", "family").orderBy("e", F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("_s", F.max("s").over(before)).filter(F.col("_s").isNull() | (F.col("_s") < F.col("s"))).drop("_s")
+
+
 def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: key, n_candidates, n_licenses, families, license, probability.
 
-    Paragraphs are lines. n_candidates counts those with an anchor word, n_licenses the confirmed ones, families lists
-    their distinct families sorted and comma-separated; license is the family of the likeliest confirmed one (ties: by
-    name), or null. Null and empty texts have none. Rows with equal ids share what is found in any of them, rows with
-    a null id likewise. Every distinct paragraph is classified once. Other columns of df are not carried.
+    A paragraph is what lies between blank lines; lines of comment marks alone are blank. In a paragraph, every line
+    and every run of lines (RUNS, and the whole) with an anchor word is classified, so that wrapped notices are found.
+    n_candidates counts the lines with an anchor word, n_licenses the confirmed runs that share no line with a counted
+    one (earliest ends first, then the shortest), families lists the distinct families of all confirmed runs sorted
+    and comma-separated. Of the runs of a family only the narrowest matter, and a run of several lines that shares one
+    with a likelier such run of another family is a part of that notice (LGPL without its first words reads like GPL); license is the family of the likeliest counted run (ties: by name), or null. Null and empty
+    texts have none. Rows with equal ids share what is found in any of them, rows with a null id likewise. Every
+    distinct run is classified once. Other columns of df are not carried.
     """
-    line = df.select(F.col(key).alias("_id"), F.explode(F.split(text, "\n", -1)).alias("_l")).filter(F.col("_l").rlike(_ANCHOR_PATTERN))
-    line = rows.checkpoint(line.select("_id", F.trim("_l", F.lit(rows.SPACES)).alias("paragraph")))
-    known = rows.checkpoint(classify(line.select("paragraph").distinct()))
-    found = line.join(known, "paragraph", "left").groupBy("_id").agg(
-        F.count("*").alias("n_candidates"),
-        F.count(F.when(F.col("confirmed"), 1)).alias("n_licenses"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
-        F.min(F.when(F.col("confirmed"), F.struct((-F.col("probability")).alias("p"), "family"))).alias("top"),
+    has = lambda c: c.rlike(_ANCHOR_PATTERN)
+    told = df.filter(has(F.col(text))).select(F.col(key).alias("_id"), F.explode(F.split(F.regexp_replace(text, MARKS, ""), "\n{2,}")).alias("_t")).filter(has(F.col("_t")))
+    told = rows.checkpoint(told.select("_id", F.struct(F.xxhash64("_t").alias("a"), F.xxhash64(F.lit(7), "_t").alias("b")).alias("_k"), F.split("_t", "\n").alias("_lines")))
+    size = F.size("_lines")
+    marked = told.dropDuplicates(["_k"]).select("_k", "_lines", F.transform("_lines", has).alias("_has"))
+
+    def spans(n: Column):
+        every = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda s: F.struct(s.alias("s"), (s + n - 1).alias("e"))))
+        return F.coalesce(F.filter(every, lambda x: F.exists(F.slice("_has", x["s"], n), lambda h: h)), F.array().cast("array<struct<s:int,e:int>>"))
+
+    whole = F.when(size > max(RUNS), F.array(F.struct(F.lit(1).alias("s"), size.alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    run = marked.select("_k", "_lines", F.explode(F.concat(*[spans(F.lit(n)) for n in RUNS], whole)).alias("_x"))
+    run = run.select("_k", "_x.s", "_x.e", normal(F.array_join(F.slice("_lines", F.col("_x.s"), F.col("_x.e") - F.col("_x.s") + 1), " ")).alias("paragraph"))
+    run = rows.checkpoint(run)
+    known = classify(run.select("paragraph").distinct()).filter("confirmed")
+    spot = F.struct("e", (-F.col("s")).alias("s"), (-F.col("probability")).alias("p"), "family")
+    sure = rows.checkpoint(narrowest(run.join(known, "paragraph").select("_k", "s", "e", "family", "probability")))
+    spot = F.struct((-F.col("probability")).alias("p"), "family", "s", "e")
+    apart = lambda a, r: F.when(F.exists(a, lambda k: (k["family"] != r["family"]) & (k["s"] <= r["e"]) & (r["s"] <= k["e"])), a).otherwise(F.concat(a, F.array(r)))
+    best = sure.groupBy("_k").agg(F.collect_list(F.when(F.col("e") == F.col("s"), spot)).alias("_single"), F.sort_array(F.collect_list(F.when(F.col("e") > F.col("s"), spot))).alias("_several"))
+    kept = F.concat("_single", F.aggregate("_several", F.array().cast("array<struct<p:double,family:string,s:int,e:int>>"), apart))
+    best = best.select("_k", F.array_sort(F.transform(kept, lambda r: F.struct(r["e"].alias("e"), (-r["s"]).alias("s"), r["p"].alias("p"), r["family"].alias("family")))).alias("_r"))
+    free = F.struct(F.lit(0).alias("e"), F.array().cast("array<struct<p:double,family:string>>").alias("got"))
+    take = lambda a, r: F.when(-r["s"] > a["e"], F.struct(r["e"].alias("e"), F.concat(a["got"], F.array(F.struct(r["p"].alias("p"), r["family"].alias("family")))).alias("got"))).otherwise(a)
+    best = best.select("_k", F.array_distinct(F.transform("_r", lambda r: r["family"])).alias("_f"), F.aggregate("_r", free, take)["got"].alias("_got"))
+    found = told.select("_id", "_k", F.size(F.filter("_lines", has)).alias("_n")).join(best, "_k", "left").groupBy("_id").agg(
+        F.sum("_n").alias("n_candidates"),
+        F.sum(F.when(F.col("_got").isNotNull(), F.size("_got")).otherwise(0)).alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_f")))), ",").alias("families"),
+        F.min(F.array_min("_got")).alias("top"),
     )
     none = F.lit(0).cast("long")
     return df.select(key).join(found, F.col(key).eqNullSafe(F.col("_id")), "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -163,6 +164,42 @@ def test_licenses(spark, messy, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+WRAPPED = {
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use it:',
+    "GPL": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+}
+
+
+def test_licenses_wrapped_and_other_holders(spark):
+    rows, want = [], {}
+    for family, notice in WRAPPED.items():
+        for width in (40, 70, 72, 76, 80):
+            for start, mark in (("", ""), (" * ", " *"), ("# ", "#"), ("// ", "//"), ("REM ", "REM")):
+                wrapped = "\n".join(start + x for x in textwrap.wrap(notice, width))
+                for text in (wrapped, f"{start}A program that counts.\n{mark}\n{wrapped}\n{mark}\n{start}More words.", f"Words\nof prose.\n{wrapped}\nand more\nof them."):
+                    want[len(rows)] = family
+                    rows.append((len(rows), text))
+    for line in ("Copyright (c) 2015 Foo Bar Inc. All rights reserved.", "Copyright 1999-2004, 2007 by J. Doe and others.\n# All rights reserved.", "\u00a9 Copyright 2021 The Example Company, all rights reserved"):
+        want[len(rows)] = "Proprietary"
+        rows.append((len(rows), line))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.families for i, r in got.items()} == want
+    assert {i: r.license for i, r in got.items()} == want
+    assert all(r.n_licenses == 1 <= r.n_candidates for r in got.values())
+
+
+def test_licenses_in_neighbouring_lines(spark):
+    """Lines count as before: each confirmed one, whatever stands beside it."""
+    single = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if brute_family(t) == f]
+    rows = [(i * 1000 + j, f"{a}\n{b}") for i, (_, a) in enumerate(single) for j, (_, b) in enumerate(single)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r.n_licenses == 2
+        assert r.families == ",".join(sorted({single[r.doc_id // 1000][0], single[r.doc_id % 1000][0]}))
+
+
 # 5
 
 
