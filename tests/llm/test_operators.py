@@ -230,6 +230,26 @@ def test_packing(messy, nothing, library):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_fills_every_tier_and_balances_groups(spark):
+    rng = random.Random(5)
+    rows = [(i, "a b c d e f g h " * rng.choice([2, 9, 9, 15, 20, 20, 40, 60, 60, 100, 120, 200])) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).collect()
+    size, group, held, longer = {}, {}, collections.defaultdict(list), 0
+    for r in got:
+        assert size.setdefault(r.sequence_id, r.tier) == r.tier and group.setdefault(r.sequence_id, r.step_group) == r.step_group
+        held[r.sequence_id].append(r)
+    for i, pieces in held.items():
+        assert sum(p.length for p in pieces) == size[i]
+        longer += size[i] < 2048 and any(p.doc_tokens - p.start > size[i] for p in pieces)
+    assert longer <= 11 * 16  # the tails of tasks alone
+    assert all(n >= 16 for n in (sum(s == t for s in size.values()) for t in packing.TIERS))
+    tokens = collections.Counter()
+    for i, n in size.items():
+        tokens[group[i]] += n
+    assert sorted(tokens) == list(range(len(tokens))) and len(tokens) == -(-sum(tokens.values()) // (16 * 2048))
+    assert max(tokens.values()) - min(tokens.values()) <= 2 * 2048
+
+
 # 6
 
 
