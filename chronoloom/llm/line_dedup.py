@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from . import rows
 
 MIN_SITES = 3
+#: Sites for lines of more than LONG_WORDS words, where they have a threshold of their own (the pipeline).
+LONG_SITES = 2
+LONG_WORDS = 50
 LG_K = 10
 #: Standard errors of the sketch within which a line counts as near the threshold.
 NEAR = 5
@@ -34,27 +37,35 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(_bare(line)).alias("a"), F.xxhash64(F.lit(7), _bare(line)).alias("b"))
 
 
-def site_spread(df: DataFrame, min_sites: int = MIN_SITES, *, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def site_spread(df: DataFrame, min_sites: int = MIN_SITES, *, long_sites: int | None = None, long_words: int = LONG_WORDS, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Lines (trimmed, not blank) on at least `min_sites` distinct sites: columns line (its key), keeper (smallest id).
 
-    A null site is no site. A null id is never the keeper unless all bearers have null ids.
+    A null site is no site. With `long_sites`, lines of more than `long_words` words need that many sites instead, and
+    for them null is a site of its own. A null id is never the keeper unless all bearers have null ids.
     """
     error = 1.04 / math.sqrt(1 << lg_k) * NEAR
-    low, high = min(min_sites * (1 - error), min_sites - 0.5), max(min_sites * (1 + error), min_sites + 0.5)
+    edges = lambda n: (min(n * (1 - error), n - 0.5), max(n * (1 + error), n + 0.5), n)
+    low, high, need = (F.lit(x) if long_sites is None else F.when(F.col("_long"), F.lit(y)).otherwise(F.lit(x)) for x, y in zip(edges(min_sites), edges(long_sites or min_sites)))
     line = df.select(F.col(key).alias("_id"), F.col(site).cast("string").alias("_site"), F.explode(_lines(F.col(text))).alias("_l")).filter(_bare(F.col("_l")) != "")
-    line = line.select("_id", "_site", line_key(F.col("_l")).alias("line"))
+    long, by = [], ["line"]
+    if long_sites is not None:
+        bare = _bare(F.col("_l"))
+        line = line.withColumn("_long", (F.length(bare) > 2 * long_words) & (F.size(F.split(bare, rows.GAP, -1)) > long_words))
+        line = line.withColumn("_site", F.when(F.col("_long"), F.coalesce(F.concat(F.lit("s"), "_site"), F.lit("n"))).otherwise(F.col("_site")))
+        long, by = ["_long"], ["line", "_long"]
+    line = line.select("_id", "_site", *long, line_key(F.col("_l")).alias("line"))
     # One row a line and site first, so that a hot line reaches its sketch, or its exact count, once from each site.
-    spots = line.groupBy("line", "_site").agg(F.min("_id").alias("_id"))
-    spread = spots.groupBy("line").agg(F.hll_sketch_agg("_site", F.lit(lg_k)).alias("_sketch"), F.min("_id").alias("keeper"))
-    spread = spread.select("line", "keeper", F.hll_sketch_estimate("_sketch").alias("_sites")).filter(F.col("_sites") >= low)
+    spots = line.groupBy(*by, "_site").agg(F.min("_id").alias("_id"))
+    spread = spots.groupBy(*by).agg(F.hll_sketch_agg("_site", F.lit(lg_k)).alias("_sketch"), F.min("_id").alias("keeper"))
+    spread = spread.select(*by, "keeper", F.hll_sketch_estimate("_sketch").alias("_sites")).filter(F.col("_sites") >= low)
     spread = rows.checkpoint(spread)
-    near = spread.filter(F.col("_sites") <= high).select("line")
-    exact = spots.filter(F.col("_site").isNotNull()).select("line").join(near, "line", "left_semi")
-    exact = exact.groupBy("line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_sites).select("line")
-    return spread.filter(F.col("_sites") > high).select("line", "keeper").unionByName(spread.filter(F.col("_sites") <= high).join(exact, "line", "left_semi").select("line", "keeper"))
+    near = spread.filter(F.col("_sites") <= high)
+    exact = spots.filter(F.col("_site").isNotNull()).select(*by).join(near.select("line"), "line", "left_semi")
+    exact = exact.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= need).select("line")
+    return spread.filter(F.col("_sites") > high).select("line", "keeper").unionByName(near.join(exact, "line", "left_semi").select("line", "keeper"))
 
 
-def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, *, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, *, long_sites: int | None = None, long_words: int = LONG_WORDS, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Columns of df with the text's boilerplate lines removed, then n_lines, n_removed, removed (line numbers from 0).
 
     Lines are split at \\n and compared without white space around them; blank lines never count. Null and empty
@@ -63,7 +74,7 @@ def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, *, lg_k: int = LG_K,
     loses every line that has a keeper. Columns of df with one of the new names are replaced.
     """
     df = df.drop("n_lines", "n_removed", "removed")
-    common = rows.checkpoint(site_spread(df, min_sites, lg_k=lg_k, key=key, text=text, site=site))
+    common = rows.checkpoint(site_spread(df, min_sites, long_sites=long_sites, long_words=long_words, lg_k=lg_k, key=key, text=text, site=site))
     here = df.select(F.col(key).alias("_id"), F.explode(F.array_distinct(_lines(F.col(text)))).alias("_l")).filter(_bare(F.col("_l")) != "").select("_id", line_key(F.col("_l")).alias("line"))
     lost = here.join(common, "line").filter(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("_id")))
     lost = lost.groupBy("_id").agg(F.collect_set("line").alias("_lost"))

@@ -16,8 +16,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines removed but for their first bearer; a document that loses all its lines goes."""
-    done = line_dedup.dedup_lines(docs)
+    """Cross-site boilerplate lines removed but for their first bearer; a document that loses all its lines goes.
+
+    Three sites make a line boilerplate, two a line of over 50 words.
+    """
+    done = line_dedup.dedup_lines(docs, long_sites=line_dedup.LONG_SITES)
     blank = F.trim(F.coalesce("text", F.lit("")), F.lit(rows.SPACES)) == ""
     kept = done.filter(~((F.col("n_removed") > 0) & blank))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,28 @@ def test_stages(spark, sf_dir):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n <> 2048 AND (n & (n - 1)) <> 0").count() == 0
 
 
+def test_line_stage_equals_brute_force(spark, sf_dir):
+    """Three sites for a line, two for one of over 50 words, where null is a site; hot lines and lines of one site stay."""
+    long = lambda name, n=51: " ".join(f"{name}{i}" for i in range(n))
+    hot, void, fifty, own = long("hot"), long("void", 60), long("fifty", 50), long("own", 80)
+    spots = [(hot, "a"), (hot, "b"), (void, "a"), (void, None), (fifty, "a"), (fifty, "b"), (own, "c"), ("short line", "a"), ("short line", None), ("short line", "b"), ("wide line", "a"), ("wide line", "b"), ("wide line", "c")]
+    rows = [(10 * i + j, f" {line}\t\nown words {i} {j}" if j else line, "en", source, 7) for i, (line, source) in enumerate(spots) for j in range(8)]
+    sites, first = collections.defaultdict(set), {}
+    for i, text, _, source, _ in rows:
+        for line in map(str.strip, text.split("\n")):
+            first[line] = min(first.get(line, i), i)
+            if source is not None or len(line.split()) > 50:
+                sites[line].add(source)
+    want = {}
+    for i, text, lang, source, n in rows:
+        kept = [x for x in text.split("\n") if first[x.strip()] == i or len(sites[x.strip()]) < (2 if len(x.split()) > 50 else 3)]
+        if kept:
+            want[i] = ("\n".join(kept), lang, source, n if len(kept) == len(text.split("\n")) else len("\n".join(kept)))
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf_dir).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert sum(hot in r.text for r in got) == sum(void in r.text for r in got) == 1
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", None, None, None), (1, "Some words. " * 40, "en", "a", 480), (2, "x" * 9000, "en", None, 1)]])
 def test_stages_take_odd_rows(spark, sf_dir, rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
