@@ -86,15 +86,15 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _hash(*parts: Column) -> Column:
-    """48 bits of the MD5 of the parts, as a long."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+def _hash(name: str, seed: int, *parts: str) -> Column:
+    return F.xxhash64(F.lit(f"{seed}{name}"), *parts)
 
 
 def _sized(df: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """Columns of df (masked), its source, size, 48 hash bits of (key, size, text), and the row's place in the table."""
     size = F.size(rows.words(F.col(text))).cast("long")
-    base = df.select("*", size.alias("_size"))
-    return base.withColumn("_u", _hash(F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_size").cast("string")))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string"), "_size", F.xxhash64(text)), 16)
+    return df.select("*", F.col(source).alias("_source"), size.alias("_size"), F.monotonically_increasing_id().alias("_place")).withColumn("_u", u)
 
 
 def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, **options) -> DataFrame:
@@ -102,19 +102,23 @@ def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, **options) -> Da
 
     A source's whole passes take each of its rows once more; the remaining part of its target takes whole permuted
     blocks, and in one last block the rows up to a cut of their hash, so that the taken words miss the target by half
-    a row. Rows without words may be taken, too, and add nothing. A null source is a source, the last in order; its
-    target follows the same rule. Rows that agree in key and size are taken alike. An empty table gives an empty
-    result. Columns of df with one of the new names are replaced. The same rows give the same result in every run.
+    a row. Rows that agree in key, size and text have one hash; where the cut falls among them, they are counted out
+    by their place in the table. Rows without words may be taken, too, and add nothing. A null source is a source, the
+    last in order; its target follows the same rule. Null texts have no words; null keys and repeated rows are rows
+    like others. An empty table gives an empty result. Columns of df with one of the new names are replaced. `df` must
+    give the same rows in the same partitions when read again, as a table scan does; the same rows give the same
+    result in every run, up to which of several equal rows is taken.
     """
     return _planned(df, weights, **options)[0]
 
 
 def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, int]:
-    """plan_mix(), and the words of all sources."""
-    df = df.drop("size", "source_size", "target", "taken", "shards")
+    """plan_mix() with _order, and the words of all sources."""
+    df = df.drop(*(c for c in ("size", "source_size", "target", "taken", "shards") if c not in (key, text, source)))
     spark = df.sparkSession
-    sized = _sized(df, key, text, source, seed)
-    slim = rows.checkpoint(sized.select(F.col(source).alias("_source"), "_size", "_u"))
+    work, own, back = rows.masked(df)
+    sized = _sized(work, own(key), own(text), own(source), seed)
+    slim = rows.checkpoint(sized.select("_source", "_size", "_u", "_place"))
     per_source = slim.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
     found = per_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -132,23 +136,30 @@ def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
 
     placed = blocked(slim, F.col("_source"))
     blocks = placed.groupBy("_sid", "_block").agg(F.sum("_size").alias("_words"), F.first("_passes").alias("_passes"), F.first("_extra").alias("_extra"))
-    order = Window.partitionBy("_sid").orderBy(_hash(F.lit(f"{seed}b"), F.col("_sid"), F.col("_block")), "_block")  # at most MAX_BLOCKS rows each
+    order = Window.partitionBy("_sid").orderBy(_hash("b", seed, "_sid", "_block"), "_block")  # at most MAX_BLOCKS rows each
     upto = F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranked = blocks.withColumns({"_upto": upto}).withColumn("_before", F.col("_upto") - F.col("_words"))
     full = (F.col("_extra") > 0) & (F.col("_upto") <= F.col("_extra"))
     part = (F.col("_extra") > 0) & ~full & (F.col("_before") < F.col("_extra"))
     ranked = rows.checkpoint(ranked.select("_sid", "_block", "_passes", "_before", "_extra", full.alias("_full"), part.alias("_part")))
-    # The last block of each source: rows are taken by their hash up to a cut, to the nearest row.
-    inside = Window.partitionBy("_sid").orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)
-    last = placed.join(F.broadcast(ranked.filter("_part").select("_sid", "_block", "_before")), ["_sid", "_block"])  # a row for each source
-    last = last.groupBy("_sid", "_block", "_u").agg(F.sum("_size").alias("_size"), F.first("_before").alias("_before"), F.first("_extra").alias("_extra"))
+    # The last block of each source: hashes are taken up to a cut. The row at the cut is the next hash's; where several
+    # rows have that hash, as many of them as come nearest to the target, by place.
+    inside = Window.partitionBy("_sid").orderBy("_u").rowsBetween(Window.unboundedPreceding, 0)
+    final = placed.join(F.broadcast(ranked.filter("_part").select("_sid", "_block", "_before")), ["_sid", "_block"])  # a row for each source
+    last = final.groupBy("_sid", "_block", "_u").agg(F.sum("_size").alias("_size"), F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_extra").alias("_extra"))
     last = last.withColumn("_to", F.col("_before") + F.sum("_size").over(inside))
-    cut = last.filter(F.col("_to") * 2 - F.col("_size") <= F.col("_extra") * 2).groupBy("_sid", "_block").agg(F.max("_u").alias("_cut"))
-    table = ranked.join(cut, ["_sid", "_block"], "left").withColumn("_cut", F.when(F.col("_full"), F.lit(1 << 48)).otherwise(F.coalesce("_cut", F.lit(-1).cast("long"))))
+    cut = last.groupBy("_sid", "_block").agg(
+        F.max(F.when(F.col("_to") <= F.col("_extra"), F.col("_u"))).alias("_cut"),
+        F.min(F.when(F.col("_to") > F.col("_extra"), F.struct("_u", F.round((F.col("_extra") - F.col("_to") + F.col("_size")) * F.col("_n") / F.col("_size")).cast("long").alias("k")))).alias("_tie"),
+    )
+    cut = rows.checkpoint(cut.select("_sid", "_block", "_cut", F.col("_tie._u").alias("_tie"), F.col("_tie.k").alias("_k")))  # a row for each source
+    table = ranked.join(cut.join(_tie_places(final, cut), "_sid", "left"), ["_sid", "_block"], "left")
+    table = table.withColumn("_cut", F.when(F.col("_full"), F.lit(1 << 48)).otherwise(F.coalesce("_cut", F.lit(-1).cast("long"))))
+    table = table.withColumn("_last", F.coalesce("_last", F.lit(-1).cast("long")))
 
     # Draws: a block once for each pass, once more where any of its rows is taken in addition.
-    draws = table.withColumn("_draws", F.col("_passes") + F.when(F.col("_cut") >= 0, 1).otherwise(0)).filter("_draws > 0").select("_sid", "_block", F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("_pass"))
-    turn = Window.partitionBy("_sid").orderBy(_hash(F.lit(f"{seed}d"), F.col("_sid"), F.col("_block"), F.col("_pass")), "_block", "_pass")
+    draws = table.withColumn("_draws", F.col("_passes") + F.when((F.col("_cut") >= 0) | (F.col("_last") >= 0), 1).otherwise(0)).filter("_draws > 0").select("_sid", "_block", F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("_pass"))
+    turn = Window.partitionBy("_sid").orderBy(_hash("d", seed, "_sid", "_block", "_pass"), "_block", "_pass")
     draws = rows.checkpoint(draws.withColumn("_rank", F.row_number().over(turn).cast("long") - 1))
     quota = np.zeros(len(plan), np.int64)
     for r in draws.groupBy("_sid").count().collect():  # a row for each source
@@ -159,28 +170,52 @@ def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
     runs_df = F.broadcast(spark.createDataFrame(runs, "_sid long, _ends array<long>"))
     shard_of = F.size(F.filter("_ends", lambda e: e <= F.col("_rank")))
     homes = draws.join(runs_df, "_sid").withColumn("_shard", shard_of).groupBy("_sid", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", "_shard"))).alias("_homes"))  # at most CAP + 1 each
-    table = rows.checkpoint(table.join(homes, ["_sid", "_block"], "left").select("_sid", "_block", "_cut", F.coalesce(F.col("_homes")["_shard"], F.array().cast("array<int>")).alias("_homes")))
+    table = rows.checkpoint(table.join(homes, ["_sid", "_block"], "left").select("_sid", "_block", "_cut", "_tie", "_last", F.coalesce(F.col("_homes")["_shard"], F.array().cast("array<int>")).alias("_homes")))
     if table.count() <= BROADCAST_BLOCKS:
         table = F.broadcast(table)
-    joined = blocked(sized, F.col(source)).join(table, ["_sid", "_block"])
-    copies = F.col("_passes") + F.when(F.col("_u") <= F.col("_cut"), 1).otherwise(0)
-    names = [F.col(f"`{c}`") for c in df.columns]
-    full = joined.select(*names, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * copies).alias("taken"), F.slice("_homes", F.lit(1), copies).alias("shards"), F.col("_u").alias("_order"))
+    joined = blocked(sized, F.col("_source")).join(table, ["_sid", "_block"])
+    more = (F.col("_u") <= F.col("_cut")) | ((F.col("_u") == F.col("_tie")) & (F.col("_place") <= F.col("_last")))
+    copies = F.col("_passes") + F.when(more, 1).otherwise(0)
+    full = joined.select(*back, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * copies).alias("taken"), F.slice("_homes", F.lit(1), copies).alias("shards"))
     return full, sum(s.size for s in plan)
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, seed: int = SEED, part_words: int = PART_WORDS, **options) -> DataFrame:
-    """The mixed rows: columns of df and shard, once for each copy, in each shard in an order of their own.
+def _tie_places(final: DataFrame, cut: DataFrame) -> DataFrame:
+    """_sid, _last: the place of the k-th row of the hash at the cut, for each source where k is above 0.
+
+    Counts by input partition find the partition in which it lies; only that partition's rows are ordered.
+    """
+    part = F.shiftright("_place", 33)
+    tied = final.join(F.broadcast(cut.filter("_k > 0").select("_sid", "_tie", "_k")), "_sid").filter("_u = _tie").select("_sid", "_k", "_place", part.alias("_p"))
+    upto = F.sum("count").over(Window.partitionBy("_sid").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    home = tied.groupBy("_sid", "_p", "_k").count().withColumn("_upto", upto).filter("_upto >= _k AND _upto - count < _k")
+    here = tied.drop("_k").join(F.broadcast(home.select("_sid", "_p", (F.col("_k") - F.col("_upto") + F.col("count")).alias("_k"))), ["_sid", "_p"])  # a row for each source
+    order = Window.partitionBy("_sid").orderBy("_place")
+    return here.withColumn("_i", F.row_number().over(order)).filter("_i = _k").select("_sid", F.col("_place").alias("_last"))
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, seed: int = SEED, part_words: int = PART_WORDS, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mixed rows: columns of df and shard (one of df's is replaced), once for each copy that plan_mix() takes, in
+    each shard in an order of their own.
 
     A shard of more than `part_words` words is dealt in several parts by the rows' hash, and each part sorted there.
+    Null keys, texts and sources, ties and repeated rows are treated as in plan_mix(); an empty table gives none.
     """
-    planned, words = _planned(df, weights, seed=seed, **options)
-    names = [c for c in df.columns if c not in ("shard", "shards", "size", "source_size", "target", "taken")]
-    drawn = planned.select(*[F.col(f"`{c}`") for c in names], F.posexplode("shards").alias("_copy", "shard"), "_order")
+    work, own, back = rows.masked(df.drop("shard") if "shard" not in (key, text, source) else df)
+    planned, words = _planned(work, weights, seed=seed, key=own(key), text=own(text), source=own(source), **options)
+    order = F.xxhash64(F.lit(seed), F.col(own(key)).cast("string"), own(text))
+    drawn = planned.select(*work.columns, order.alias("_order"), F.posexplode("shards").alias("_copy", "shard"))
     shards = options.get("shards", SHARDS)
     sub = max(1, -(-words // (shards * part_words)))
-    spot = F.xxhash64(F.lit(seed), "_order", "_copy")
-    return drawn.withColumn("_spot", spot).repartitionById(shards * sub, F.expr(f"int(shard * {sub} + pmod(_spot, {sub}))")).sortWithinPartitions("_spot").drop("_spot", "_copy", "_order")
+    drawn = drawn.withColumn("_spot", F.xxhash64(F.lit(seed), "_order", "_copy"))
+    part = F.col("_spot")
+    if sub > 1:  # a row that is repeated for a whole part or more is dealt by place: fewer than shards * sub such rows
+        n = work.count()
+        heavy = work.select(order.alias("_order")).groupBy("_order").count().filter(F.col("count") * (shards * sub) > n).select("_order", F.lit(True).alias("_heavy"))
+        drawn = drawn.join(F.broadcast(heavy), "_order", "left")
+        part = F.when(F.col("_heavy"), F.xxhash64("_spot", F.monotonically_increasing_id())).otherwise(part)
+    dealt = drawn.withColumn("_part", (F.col("shard") * sub + F.pmod(part, F.lit(sub))).cast("int"))
+    return dealt.repartitionById(shards * sub, F.col("_part")).sortWithinPartitions("_spot").select(*back, "shard")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,16 +50,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder that all executors share.
+    """Cut lineage through the folder that all executors share, the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only where the session names none (tests), one is set.
+    Where the session names none, a local master (tests) gets a folder of its own; a cluster is refused, since each of
+    its executors would write to its own disk.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "/tmp/checkpoints/chronoloom")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], list[Column]]:
+    """The same rows with columns c0, c1, ..., so that no column of an operator's own (_x) clashes with one of df's.
+
+    Also the new name of an old column, and the columns that bring the old names back.
+    """
+    names = df.columns
+    new = [f"c{i}" for i in range(len(names))]
+    return df.toDF(*new), lambda c: new[names.index(c)], [F.col(n).alias(c) for n, c in zip(new, names, strict=True)]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
