@@ -154,12 +154,19 @@ def held_out(key: Column) -> Column:
 
 
 def train(df: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality", chars: str = "n_chars") -> tuple[float, np.ndarray]:
-    """Fit on at most `sample` labelled ids, those of the smallest hashes; held-out ids are never used."""
+    """Fit on at most `sample` labelled ids, those of the smallest hashes; held-out ids are never used.
+
+    An id with several labels counts with the smallest; an id with several texts with the one of the smallest hash, so
+    repeated rows add nothing. Null ids and null labels are left out; null texts are empty, null lengths unknown. No
+    usable row gives a constant score of 0.5, one class only a constant towards it. Other columns are not read.
+    """
     usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
     one = usable.groupBy(key).agg(F.min(label).alias("_label"))
     chosen = one.orderBy(F.xxhash64(key), key).limit(sample)
-    meta = F.col(chars).cast("double") if chars in df.columns else F.lit(None).cast("double")
-    found = df.select(F.col(key), F.col(text).alias("_text"), meta.alias("_chars")).join(F.broadcast(chosen), key).select(key, "_text", "_chars", "_label")
+    meta = F.col(chars).try_cast("double") if chars in df.columns else F.lit(None).cast("double")
+    found = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), meta.alias("_chars")).join(F.broadcast(chosen.withColumnRenamed(key, "_id")), "_id")  # at most `sample` ids
+    first = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"), F.col("_chars").alias("n"), F.col("_label").alias("y")))
+    found = found.groupBy("_id").agg(first.alias("_r")).select("_id", F.col("_r.t").alias("_text"), F.col("_r.n").alias("_chars"), F.col("_r.y").alias("_label"))
 
     def run(batches):
         for batch in rows.slices(batches, "_text"):
@@ -171,7 +178,7 @@ def train(df: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, key: str =
                 names=["id", "label", "k", "v"],
             )
 
-    got = sorted(rows.arrow_map(found, run, "id string, label int, k array<int>, v array<float>").limit(2 * sample).collect(), key=lambda r: (r["id"], r["k"]))
+    got = sorted(rows.arrow_map(found, run, "id string, label int, k array<int>, v array<float>").collect(), key=lambda r: (r["id"], r["k"]))
     return fit([(np.array(r["k"], np.int64), np.array(r["v"], float)) for r in got], np.array([r["label"] for r in got]))
 
 
@@ -179,14 +186,15 @@ def score(df: DataFrame, model: tuple[float, np.ndarray], *, key: str = "doc_id"
     """Columns: key, the columns in keep, score (0 to 1), predicted (1 if score >= 0.5), one row for each row of df.
 
     Null and empty texts get the score of a text without words; a null length is unknown. Rows are scored one by one,
-    so null keys, ties and repeated rows need no rule.
+    so null keys, ties and repeated rows need no rule; an empty table gives none. Columns of df named score or
+    predicted are replaced, others travel under names of their own.
     """
-    meta = F.col(chars).cast("double") if chars in df.columns else F.lit(None).cast("double")
-    carried = [c for c in keep if c not in (key, "score", "predicted")]
+    meta = F.col(chars).try_cast("double") if chars in df.columns else F.lit(None).cast("double")
+    carried = [key, *(c for c in keep if c not in (key, "score", "predicted"))]
     bias, table = model
     small = (bias, table.astype(np.float32))
-    source = df.select(F.col(key), *[F.col(f"`{c}`") for c in carried], F.col(text).alias("_text"), meta.alias("_chars"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]) + ", score double, predicted int"
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(text).alias("_text"), meta.alias("_chars"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-2]) + ", score double, predicted int"
 
     def run(batches):
         for batch in rows.slices(batches, "_text"):
@@ -196,7 +204,7 @@ def score(df: DataFrame, model: tuple[float, np.ndarray], *, key: str = "doc_id"
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-2], "score", "predicted"])
 
-    return rows.arrow_map(source, run, schema)
+    return rows.arrow_map(source, run, schema).toDF(*carried, "score", "predicted")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
