@@ -8,8 +8,10 @@ lie inside another are carved with their offsets. Rows are independent: no shuff
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,17 +36,49 @@ MAGIC = {
 STORES = ("image/png", "audio/wav", "image/bmp", "image/x-portable-graymap", "audio/basic")
 
 
+#: Samples beyond this are confirmed, but not returned (a header of a few bytes may promise terabytes).
+MAX_SAMPLES = 1 << 28
+
+
 @dataclass
 class Found:
     kind: str
     begin: int
     end: int
     shape: tuple[int, int]  # width and height, or rate and frames
-    samples: bytes | None  # None where the format's samples are not 8-bit grey or mono
-
-
-def _png(data: bytes, at: int) -> Found | None:
-    """Chunks with lengths and checks from IHDR to IEND."""
+    read: Callable[[], bytes | None] | None = None  # None where the format's samples are not 8-bit grey or mono
+
+    @property
+    def samples(self) -> bytes | None:
+        """Copied when asked for: a find by itself holds offsets only."""
+        return self.read() if self.read else None
+
+
+def _cut(data: bytes, begin: int, n: int) -> Callable[[], bytes | None]:
+    return lambda: data[begin : begin + n] if n <= MAX_SAMPLES else None
+
+
+def _inflate(data: bytes, spans: list[tuple[int, int]], size: int, keep: bool) -> tuple[int, bytes]:
+    """Bytes that the spans hold when inflated piece by piece, counted up to size + 1; the bytes themselves on demand."""
+    plain, total, kept = zlib.decompressobj(), 0, []
+    for begin, n in spans:
+        for i in range(begin, begin + n, 1 << 16):
+            rest = data[i : min(i + (1 << 16), begin + n)]
+            while rest and total <= size and not plain.eof:
+                got = plain.decompress(rest, 1 << 20)
+                total += len(got)
+                if keep:
+                    kept.append(got)
+                rest = plain.unconsumed_tail
+    while total <= size and not plain.eof and (got := plain.decompress(b"", 1 << 20)):
+        total += len(got)
+        if keep:
+            kept.append(got)
+    return total, b"".join(kept)
+
+
+def _png(data: bytes, at: int, memo: dict) -> Found | None:
+    """Chunks with lengths and checks from IHDR to IEND; of 8-bit grey ones, as many bytes as the header promises."""
     i, shape, packed, depth = at + 8, None, [], None
     while i + 12 <= len(data):
         n = int.from_bytes(data[i : i + 4], "big")
@@ -64,27 +98,32 @@ def _png(data: bytes, at: int) -> Found | None:
         elif shape is None:
             return None
         elif name == b"IDAT":
-            packed.append(body)
+            packed.append((i - 4 - n, n))
         elif name == b"IEND":
             if not packed:
                 return None
-            samples = None
-            if depth == (8, 0, 0, 0, 0):
-                size = shape[1] * (shape[0] + 1)
-                plain = zlib.decompressobj()
-                try:
-                    raw = plain.decompress(b"".join(packed), size + 1)
-                except zlib.error:
+            if depth != (8, 0, 0, 0, 0):
+                return Found("image/png", at, i, shape)
+            size = shape[1] * (shape[0] + 1)
+            if size > 1032 * sum(n for _, n in packed):  # more than deflate can hold
+                return None
+            try:
+                if _inflate(data, packed, size, False)[0] != size:
                     return None
-                if len(raw) != size:
+            except zlib.error:
+                return None
+
+            def read(shape=shape, size=size) -> bytes | None:
+                if size > MAX_SAMPLES:
                     return None
-                lines = np.frombuffer(raw, np.uint8).reshape(shape[1], shape[0] + 1)
-                samples = lines[:, 1:].tobytes() if not lines[:, 0].any() else None
-            return Found("image/png", at, i, shape, samples)
+                lines = np.frombuffer(_inflate(data, packed, size, True)[1], np.uint8).reshape(shape[1], shape[0] + 1)
+                return lines[:, 1:].tobytes() if not lines[:, 0].any() else None
+
+            return Found("image/png", at, i, shape, read)
     return None
 
 
-def _wav(data: bytes, at: int) -> Found | None:
+def _wav(data: bytes, at: int, memo: dict) -> Found | None:
     if data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
@@ -102,60 +141,57 @@ def _wav(data: bytes, at: int) -> Found | None:
         elif name == b"data":
             if not form or not form[4] or n % form[4]:
                 return None
-            samples = data[i + 8 : i + 8 + n] if form[:2] == (1, 1) and form[5] == 8 else None
-            return Found("audio/wav", at, end, (form[2], n // form[4]), samples)
+            return Found("audio/wav", at, end, (form[2], n // form[4]), _cut(data, i + 8, n) if form[:2] == (1, 1) and form[5] == 8 else None)
         i += 8 + n + n % 2
     return None
 
 
-def _bmp(data: bytes, at: int) -> Found | None:
+def _bmp(data: bytes, at: int, memo: dict) -> Found | None:
+    """Headers of 40, 108 and 124 bytes; bytes may follow the rows up to the stated size."""
     if at + 54 > len(data):
         return None
     size, _, where, head, width, height, planes, bits, packing = struct.unpack("<IIIIiiHHI", data[at + 2 : at + 34])
     row = (width * bits + 31) // 32 * 4
-    if head != 40 or planes != 1 or packing or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    if head not in (40, 108, 124) or planes != 1 or packing not in ((0, 3) if bits in (16, 32) else (0,)) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or height == 0:
         return None
-    if where < 54 or where + row * abs(height) != size or at + size > len(data):
+    n = row * abs(height)
+    if where < 14 + head or where + n > size or at + size > len(data):
         return None
-    samples = None
-    if bits == 8 and width == row:
-        lines = np.frombuffer(data, np.uint8, row * abs(height), at + where).reshape(-1, row)
-        samples = (lines[::-1] if height > 0 else lines).tobytes()
-    return Found("image/bmp", at, at + size, (width, abs(height)), samples)
-
-
-def _pgm(data: bytes, at: int) -> Found | None:
-    i, numbers = at + 2, []
-    for _ in range(3):
-        j = i
-        while j < len(data) and data[j] in b" \t\r\n":
-            j += 1
-        i = j
-        while j < len(data) and j - i < 10 and 48 <= data[j] < 58:
-            j += 1
-        if i == at + 2 or j == i:
+
+    def read() -> bytes | None:
+        if n > MAX_SAMPLES:
             return None
-        numbers.append(int(data[i:j]))
-        i = j
-    if i >= len(data) or data[i] not in b" \t\r\n" or numbers[2] != 255 or not numbers[0] * numbers[1]:
+        lines = np.frombuffer(data, np.uint8, n, at + where).reshape(-1, row)
+        return (lines[::-1] if height > 0 else lines)[:, :width].tobytes()
+
+    return Found("image/bmp", at, at + size, (width, abs(height)), read if bits == 8 else None)
+
+
+_PGM = re.compile(rb"P5((?:[ \t\r\n]|#[^\n]{0,200}\n){1,64}([0-9]{1,9}))(?:(?:[ \t\r\n]|#[^\n]{0,200}\n){1,64}([0-9]{1,9}))(?:(?:[ \t\r\n]|#[^\n]{0,200}\n){1,64}([0-9]{1,5}))[ \t\r\n]")
+
+
+def _pgm(data: bytes, at: int, memo: dict) -> Found | None:
+    """Width, height and largest value, with comment lines between them; samples of two bytes above 255."""
+    head = _PGM.match(data, at)
+    if not head:
         return None
-    begin, n = i + 1, numbers[0] * numbers[1]
-    if begin + n > len(data):
+    width, height, top = (int(head[i]) for i in (2, 3, 4))
+    n = width * height * (1 if top < 256 else 2)
+    if not n or not 0 < top < 65536 or head.end() + n > len(data):
         return None
-    return Found("image/x-portable-graymap", at, begin + n, (numbers[0], numbers[1]), data[begin : begin + n])
+    return Found("image/x-portable-graymap", at, head.end() + n, (width, height), _cut(data, head.end(), n) if top < 256 else None)
 
 
-def _au(data: bytes, at: int) -> Found | None:
+def _au(data: bytes, at: int, memo: dict) -> Found | None:
     if at + 24 > len(data):
         return None
     where, n, coding, rate, channels = struct.unpack(">IIIII", data[at + 4 : at + 24])
     if where < 24 or where % 4 or coding not in range(1, 28) or not channels or not rate or at + where + n > len(data):
         return None
-    samples = data[at + where : at + where + n] if (coding, channels) == (2, 1) else None
-    return Found("audio/basic", at, at + where + n, (rate, n), samples)
+    return Found("audio/basic", at, at + where + n, (rate, n), _cut(data, at + where, n) if (coding, channels) == (2, 1) else None)
 
 
-def _gif(data: bytes, at: int) -> Found | None:
+def _gif(data: bytes, at: int, memo: dict) -> Found | None:
     if at + 13 > len(data):
         return None
     width, height = struct.unpack("<HH", data[at + 6 : at + 10])
@@ -163,7 +199,7 @@ def _gif(data: bytes, at: int) -> Found | None:
     while i < len(data):
         mark = data[i]
         if mark == 0x3B:
-            return Found("image/gif", at, i + 1, (width, height), None) if images and width and height else None
+            return Found("image/gif", at, i + 1, (width, height)) if images and width and height else None
         if mark == 0x21:
             i += 2
         elif mark == 0x2C and i + 10 < len(data):
@@ -177,7 +213,7 @@ def _gif(data: bytes, at: int) -> Found | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> Found | None:
+def _jpeg(data: bytes, at: int, memo: dict) -> Found | None:
     i, shape = at + 2, None
     while i + 4 <= len(data) and data[i] == 0xFF:
         mark, n = data[i + 1], int.from_bytes(data[i + 2 : i + 4], "big")
@@ -190,8 +226,11 @@ def _jpeg(data: bytes, at: int) -> Found | None:
             shape = (width, height)
         i += 2 + n
         if mark == 0xDA:
-            end = data.find(b"\xff\xd9", i)
-            return Found("image/jpeg", at, end + 2, shape, None) if end >= 0 and shape and 0 not in shape else None
+            after, end = memo.get("jpeg", (0, -2))  # no end mark lies between these two; -1 means none to the end
+            if end == -2 or not (after <= i and (end == -1 or i <= end)):
+                end = data.find(b"\xff\xd9", i)
+                memo["jpeg"] = (i, end)
+            return Found("image/jpeg", at, end + 2, shape) if end >= 0 and shape and 0 not in shape else None
     return None
 
 
@@ -214,9 +253,9 @@ def automaton():
 
 def carve(data: bytes) -> list[Found]:
     """Every confirmed medium, by offset; one inside another follows it."""
-    found = []
+    found, memo = [], {}
     for last, (n, kind) in automaton().iter(data.decode("latin-1")):
-        hit = VALID[kind](data, last - n + 1)
+        hit = VALID[kind](data, last - n + 1, memo)
         if hit:
             found.append(hit)
     return sorted(found, key=lambda x: (x.begin, -x.end))
@@ -227,8 +266,8 @@ def sniff(df: DataFrame, *, media: str = "media", declared: str = "declared", ke
 
     media_type is the confirmed type of the first medium, else null; corrected tells that it differs from the declared
     one (null counts as different). embedded lists all further media as (type, offset, length): those inside the first
-    as well as those behind it. samples are the 8-bit samples of a readable medium, else null. Null or unrecognised
-    bytes give nulls. Rows are independent, so null keys, ties and repeated rows need no rule; other columns of df are
+    as well as those behind it. samples are the 8-bit samples of a readable medium of MAX_SAMPLES bytes at most, else
+    null. Null or unrecognised bytes give nulls, an empty table an empty result. Rows are independent, so null keys, ties and repeated rows need no rule; other columns of df are
     not carried.
     """
     kind = df.schema[key].dataType.simpleString()
@@ -285,7 +324,11 @@ def padded(text: bytes) -> bytes:
 
 
 def stored_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every text as a medium with a declared type that is right for one text in five: key, n_bytes, declared, media."""
+    """Every text as a medium with a declared type that is right for one text in five: key, n_bytes, declared, media.
+
+    Null texts count as empty and give a payload of STEP spaces. Rows are independent: null keys, ties and repeated
+    rows need no rule, equal texts give equal media. Other columns of df are not carried; an empty table gives none.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -303,7 +346,11 @@ def stored_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 
 
 def digests(df: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """From sniff(): the payload's and the medium's lengths and hashes, and a feature of the samples."""
+    """From sniff(): the payload's and the medium's lengths and hashes, and a feature of the samples.
+
+    Columns: key, n_bytes (carried), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    media_type, corrected. Without samples both are empty. Rows are independent; an empty table gives none.
+    """
     kind = df.schema[key].dataType.simpleString()
     names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected")
 
