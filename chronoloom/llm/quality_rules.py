@@ -97,16 +97,34 @@ def line_fails(bare: Column) -> Column:
     )
 
 
+def first_of_equals(lines: Column, exempt) -> Column:
+    """The lines without those that equal an earlier one, but for exempt ones, which all stay.
+
+    One sort brings equal lines together, in order of place; each then looks at its predecessor only.
+    """
+    spots = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), x.alias("x"), i.alias("i"))))
+
+    def later(spots: Column) -> Column:
+        again = F.filter(spots, lambda s, k: F.coalesce(F.get(spots, k - 1)["x"] == s["x"], F.lit(False)) & ~exempt(s["x"]))
+        return F.transform(again, lambda s: s["i"])
+
+    # transform over a one-element array binds the sorted spots to a name, so that they are sorted once a row.
+    gone = F.transform(F.array(spots), later)[0]
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.when(F.size(lines) == 0, lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
+
+
 def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
     """Columns of df, then cleaned (the kept lines), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_failed_lines, base_failed, kept.
 
     A line also fails when it repeats an earlier kept line of at least three words. kept is false for base_failed, and
     when the kept lines hold under MIN_KEPT_PERCENT of the non-space characters. Null and empty texts have no words,
     hence base_failed. Columns of df with one of these names are replaced. Rows are judged one by one, so null keys,
-    ties and repeated rows need no rule.
+    ties and repeated rows need no rule; an empty table gives none.
     """
-    own = ("cleaned", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "base_failed", "kept")
-    base = df.drop(*(c for c in own if c != text)).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    new = ("cleaned", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "base_failed", "kept")
+    work, own, back = rows.masked(df.drop(*(c for c in new if c != text)))
+    base = work.withColumn("_t", F.coalesce(F.col(own(text)), F.lit("")))
     parts = base.withColumns({"_w": rows.words(F.col("_t")), "_l": F.split("_t", "\n", -1)})
     parts = parts.withColumns({"_h": window_hashes(F.col("_w"), F.size("_w")), "_b": F.transform("_l", lambda x: F.trim(x, F.lit(rows.SPACES)))})
     counts = parts.withColumns(
@@ -121,8 +139,8 @@ def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
     )
     counts = counts.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
     # Repeats among kept lines: the later ones of equal lines with three words or more go.
-    three = lambda x: F.size(F.split(F.trim(x, F.lit(rows.SPACES)), rows.GAP, -1)) >= 3
-    once = F.when(F.col("n_dup_lines") > 0, F.filter("_ok", lambda x, i: (F.array_position(F.col("_ok"), x) == i + 1) | ~three(x))).otherwise(F.col("_ok"))
+    short = lambda x: F.size(F.split(F.trim(x, F.lit(rows.SPACES)), rows.GAP, -1)) < 3
+    once = F.when(F.col("n_dup_lines") > 0, first_of_equals(F.col("_ok"), short)).otherwise(F.col("_ok"))
     out = counts.withColumn("_kept", once).withColumns(
         {
             "cleaned": F.array_join("_kept", "\n"),
@@ -133,7 +151,7 @@ def clean_lines(df: DataFrame, *, text: str = "text") -> DataFrame:
     )
     left = F.length(F.regexp_replace("cleaned", rows.GAP, ""))
     verdict = ~F.col("base_failed") & ((F.col("n_failed_lines") == 0) | (left * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT))
-    return out.withColumn("kept", verdict).drop("_t", "_w", "_l", "_b", "_h", "_full", "_ok", "_kept")
+    return out.withColumn("kept", verdict).select(*back, *new)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
