@@ -74,8 +74,8 @@ def site_spread(df: DataFrame, min_sites: int = MIN_SITES, *, long_sites: int |
     few = held.count() <= BROADCAST_LINES
     here = rows.checkpoint(lines.join(F.broadcast(held) if few else held, "line", "left_semi"))
     near = spread.filter(F.col("_sites") <= high)
-    exact = here.filter(F.col("_site").isNotNull()).select("line", "_long", "_site").join(near.select("line"), "line", "left_semi").groupBy("line", "_long", "_site").agg(F.lit(1).alias("_one"))
-    exact = exact.groupBy("line", "_long").agg(F.count("*").alias("_n")).filter(F.col("_n") >= need).select("line")
+    exact = here.filter(F.col("_site").isNotNull()).groupBy("line", "_long", "_site").agg(F.lit(1).alias("_one"))
+    exact = exact.join(near.select("line"), "line", "left_semi").groupBy("line", "_long").agg(F.count("*").alias("_n")).filter(F.col("_n") >= need).select("line")
     common = spread.filter(F.col("_sites") > high).select("line", "keeper").unionByName(near.join(exact, "line", "left_semi").select("line", "keeper"))
     return common, here.select("_id", "_h", "_pos", "line")
 
