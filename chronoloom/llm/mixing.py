@@ -28,7 +28,7 @@ MAX_BLOCKS = 4096
 #: Words in one exchange partition of the mixed rows, about.
 PART_WORDS = 4_000_000
 #: The per-source plan is made on the driver; more sources than this are refused.
-MAX_SOURCES = 20_000
+MAX_SOURCES = 200_000
 #: Rows of the block table up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BLOCKS = 50_000
 
@@ -74,14 +74,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             out[:, lo] = q
             continue
         mid = (lo + hi) // 2
-        left = np.zeros(len(q), np.int64)
         rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        need, rest = sum(room[lo:mid]), int(q.sum())
-        for i, n in enumerate(q.tolist()):  # source by source: a hypergeometric draw from what is left
-            rest -= n
-            # numpy draws hypergeometric numbers for up to 10**9 items; block quotas lie far below.
-            left[i] = rng.hypergeometric(n, rest, need) if n and need else 0
-            need -= int(left[i])
+        left = rng.multivariate_hypergeometric(q, sum(room[lo:mid]), method="marginals")  # for up to 10**9 blocks in all
         todo += [(lo, mid, left), (mid, hi, q - left)]
     return out
 
@@ -150,7 +144,7 @@ def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
     last = last.withColumn("_to", F.col("_before") + F.sum("_size").over(inside))
     cut = last.groupBy("_sid", "_block").agg(
         F.max(F.when(F.col("_to") <= F.col("_extra"), F.col("_u"))).alias("_cut"),
-        F.min(F.when(F.col("_to") > F.col("_extra"), F.struct("_u", F.round((F.col("_extra") - F.col("_to") + F.col("_size")) * F.col("_n") / F.col("_size")).cast("long").alias("k")))).alias("_tie"),
+        F.min(F.when(F.col("_to") > F.col("_extra"), F.struct("_u", F.round(F.try_divide((F.col("_extra") - F.col("_to") + F.col("_size")) * F.col("_n"), F.col("_size"))).cast("long").alias("k")))).alias("_tie"),
     )
     cut = rows.checkpoint(cut.select("_sid", "_block", "_cut", F.col("_tie._u").alias("_tie"), F.col("_tie.k").alias("_k")))  # a row for each source
     table = ranked.join(cut.join(_tie_places(final, cut), "_sid", "left"), ["_sid", "_block"], "left")
