@@ -149,12 +149,13 @@ def shard(df: DataFrame, shards: int = SHARDS, *, tolerance: float = TOLERANCE,
     size: UTF-8 bytes of the text (null: none) plus 8. slot counts gaplessly from 0 in each shard, in key order. Equal
     texts are neighbours; where they are many, they spread over shards. Null keys and repeated rows are placed like
     any other (repeated rows are told apart by their place in the table). An empty table gives an empty result.
-    Columns of df named size, shard, slot, k0, k1 or k2 are replaced. `df` must give the same rows in the same
+    Columns of df named size, shard or slot are replaced. Null texts count as empty. `df` must give the same rows in the same
     partitions when read again, as a table scan does.
     """
-    df = df.drop("size", "shard", "slot", "k0", "k1", "k2")
-    k0, k1, k2 = key_parts(df, key, text)
-    full = df.select("*", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), k0.alias("k0"), k1.alias("k1"), k2.alias("k2"))
+    df = df.drop(*(c for c in ("size", "shard", "slot") if c not in (key, text)))
+    work, own, back = rows.masked(df)
+    k0, k1, k2 = key_parts(work, own(key), own(text))
+    full = work.select("*", (F.coalesce(F.octet_length(own(text)), F.lit(0)).cast("long") + 8).alias("size"), k0.alias("k0"), k1.alias("k1"), k2.alias("k2"))
     keys = rows.checkpoint(full.select("k0", "k1", "k2", "size"))  # a few bytes a row, read once a round
     n_rows, n_bytes = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     fine = max(1, min(max(-(-n_rows // (shards * part_rows)), -(-n_bytes // (shards * part_bytes))), MAX_PARTS // shards))
@@ -166,7 +167,7 @@ def shard(df: DataFrame, shards: int = SHARDS, *, tolerance: float = TOLERANCE,
     # In a partition the lower 33 bits of this id count the rows from 0.
     here = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     numbered = placed.withColumn("slot", offset + here).withColumn("shard", F.expr(f"int(_part div {fine})"))
-    return numbered.drop("_part", "k0", "k1", "k2")
+    return numbered.select(*back, "size", "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
