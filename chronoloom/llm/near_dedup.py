@@ -4,10 +4,12 @@
 2. Equal sets form a class with the smallest id as representative; only representatives go on.
 3. Buckets of equal band keys. Each bucket's smallest id is compared with its members (a star, not all pairs), links
    are confirmed on the full sets, and components are built from them.
-4. Buckets whose members still lie in several components: their pairs across components are confirmed, too, pair by
-   pair in small buckets, block against block in larger ones. So every pair that shares a bucket is either confirmed,
-   refuted, or connected already.
-5. Every row gets its class's component.
+4. Large buckets whose members still lie in several components: some PIVOTS members, chosen by hash, are compared with
+   those of other components, and the components are merged.
+5. Buckets that are mixed still: members outside the bucket's largest component are compared with those of all other
+   components, pair by pair in small buckets, block against block in larger ones. So every pair that shares a bucket is
+   either confirmed, refuted, or connected already, and a bucket of near copies makes rows in proportion to its members.
+6. Every row gets its class's component.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ PERCENT = 75
 #: At a similarity of 0.75 a pair shares none of the bands with probability (1 - 0.75**6)**60, below 1 in 100,000.
 BANDS = 60
 ROWS = 6
-#: Buckets of up to SMALL members are compared as pairs, larger ones in blocks of BLOCK members.
+#: Buckets of up to SMALL members are compared as pairs, larger ones in blocks of BLOCK members or BLOCK_SHINGLES shingles.
 SMALL = 12
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
+#: Members of a large mixed bucket, about, that are compared with all of its other components first.
+PIVOTS = 16
 #: Ids up to which the texts of candidates are found by a broadcast of these ids; beyond, by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -84,32 +89,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, *, text: str, percent: int, word
 
 
 def confirm_blocks(members: DataFrame, bands: DataFrame, texts: DataFrame, *, text: str, percent: int, words: int, block: int = BLOCK) -> DataFrame:
-    """members(bucket, id, n, label, m) of large buckets: linked labels (a, b) of pairs across components.
+    """members(bucket, id, n, label, ask) of large buckets: linked labels (a, b) of members that ask and any others.
 
-    A bucket is cut into ceil(m / block) blocks by hash, and every pair of blocks is one task's group, at most twice
-    `block` documents; so rows grow with m * m / block, not with m * m. A pair that shares several buckets is compared
-    in the first of them.
+    Askers and members are cut into blocks by hash, and every pair of their blocks is one task's group of at most some
+    2 * `block` documents: rows grow with askers * members / block, and with members alone where few ask. A pair that
+    shares several buckets is compared in the first of them.
     """
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    spread = members.withColumn("_b", own).withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1)))
-    spread = spread.select("bucket", F.least("_b", "_p").alias("i"), F.greatest("_b", "_p").alias("j"), F.col("_b").alias("own"), "id", "n", "label")
+    cut = lambda count, load: F.greatest(F.ceil(count / block), F.ceil(load / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("bucket").agg(cut(F.count_if("ask"), F.sum(F.when(F.col("ask"), F.col("n")))).alias("_na"), cut(F.count("*"), F.sum("n")).alias("_nr")).filter("_na > 0")
+    spread = members.join(sizes, "bucket")
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), n).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = spread.filter("ask").select("bucket", own(1, F.col("_na")).alias("i"), copies("_nr").alias("j"), F.lit(0).alias("side"), "id", "n", "label")
+    spread = asks.unionByName(spread.select("bucket", copies("_na").alias("i"), own(2, F.col("_nr")).alias("j"), F.lit(1).alias("side"), "id", "n", "label"))
     wanted = rows.checkpoint(texts_of(rows.checkpoint(members.select("id").distinct()), texts, text).join(bands.select("id", "bands"), "id"))
     kind = members.schema["label"].dataType.simpleString()
 
     def run(key, frame):
         import pandas as pd
 
-        bucket, i, j = key
-        n, label, side = (frame[c].to_numpy() for c in ("n", "label", "own"))
+        bucket = key[0]
+        n, label, side = (frame[c].to_numpy() for c in ("n", "label", "side"))
         keys = np.stack(frame["bands"].to_list())
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         big, small = np.maximum(n[left][:, None], n[right]), np.minimum(n[left][:, None], n[right])
-        ask = (label[left][:, None] != label[right]) & (small * 100 >= big * percent)
-        if i == j:
-            ask &= np.arange(len(left))[:, None] < np.arange(len(right))
-        x, y = np.nonzero(ask)
+        x, y = np.nonzero((label[left][:, None] != label[right]) & (small * 100 >= big * percent))
         if len(x):
             equal = keys[left[x]] == keys[right[y]]
             first = equal.argmax(axis=1)
@@ -136,7 +140,7 @@ def confirm_blocks(members: DataFrame, bands: DataFrame, texts: DataFrame, *, te
         a, b = label[left[x[good]]], label[right[y[good]]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    grouped = spread.join(wanted, "id").select("bucket", "i", "j", "own", "id", "n", "label", "bands", "t")
+    grouped = spread.join(wanted, "id").select("bucket", "i", "j", "side", "id", "n", "label", "bands", "t")
     return grouped.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -154,6 +158,21 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", "label")
 
 
+def merged(label: DataFrame, links_: DataFrame) -> DataFrame:
+    """label(id, label) after links_(a, b) between labels; ids that label lacks are their own label."""
+    top = rows.checkpoint(components(links_).select(F.col("id").alias("label"), F.col("label").alias("top")))
+    known = label.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    return rows.checkpoint(known.unionByName(top.select(F.col("label").alias("id"), F.col("top").alias("label")).join(label, "id", "left_anti")))
+
+
+def mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (bucket, id, n, lead, label, m, main) of buckets in several components; main is the largest one's label."""
+    of = members.join(label, "id", "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label"))
+    per = of.groupBy("bucket", "label").agg(F.count("*").alias("_c"))
+    mixed = per.groupBy("bucket").agg(F.sum("_c").alias("m"), F.count("*").alias("_k"), F.max(F.struct("_c", "label")).alias("_m"))
+    return rows.checkpoint(of.join(mixed.filter("_k > 1 AND m > 2").select("bucket", "m", F.col("_m.label").alias("main")), "bucket"))
+
+
 def near_duplicates(df: DataFrame, percent: int = PERCENT, *, bands: int = BANDS, band_rows: int = ROWS, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: key, n_shingles, component_id, kept (the row's id is its component's smallest).
 
@@ -167,25 +186,28 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, *, bands: int = BANDS
     spots = classes.select("id", "n", F.explode("bands").alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).filter("m > 1").select("bucket", "lead")
     members = rows.checkpoint(spots.join(shared, "bucket").select("bucket", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
-    texts = df.select(F.col(key).alias("id"), text).filter(F.col("id").isNotNull())
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("_text")).filter(F.col("id").isNotNull())
+    options = {"text": "_text", "percent": percent, "words": words}
     fit = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  a link needs sizes this close
     stars = members.filter((F.col("id") != F.col("lead")) & fit(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    label = components(confirm(stars, texts, text=text, percent=percent, words=words))
-    # What the stars left open.
-    of = rows.checkpoint(members.join(label, "id", "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label")))
-    mixed = rows.checkpoint(of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).filter("x <> y AND m > 2").select("bucket", "m"))
-    rest = of.join(mixed, "bucket")
+    label = components(confirm(stars, texts, **options))
+    rest = mixed_buckets(members, label)
+    large = rest.filter(F.col("m") > SMALL)
+    if not large.isEmpty():
+        chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 11) * F.lit(2.0**-53)
+        label = merged(label, confirm_blocks(large.withColumn("ask", chance * F.col("m") < PIVOTS), classes, texts, **options))
+        rest = mixed_buckets(members, label)
+        large = rest.filter(F.col("m") > SMALL)
+    # What stars and pivots left open.
     few = rest.filter((F.col("m") <= SMALL) & (F.col("id") != F.col("lead")))
     one, two = few.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     cross = one.join(two, "bucket").filter((F.col("la") < F.col("lb")) & fit(F.col("na"), F.col("nb"))).select("a", "b", "la", "lb").distinct()
     cross = rows.checkpoint(cross)
-    found = confirm(cross.select("a", "b"), texts, text=text, percent=percent, words=words)
+    found = confirm(cross.select("a", "b"), texts, **options)
     joined = found.join(cross, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    joined = joined.union(confirm_blocks(rest.filter(F.col("m") > SMALL), classes, texts, text=text, percent=percent, words=words)).distinct()
-    top = components(joined).select(F.col("id").alias("label"), F.col("label").alias("top"))
-    final = label.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label")).unionByName(
-        top.select(F.col("label").alias("id"), F.col("top").alias("label")).join(label, "id", "left_anti")
-    )
+    if not large.isEmpty():
+        joined = joined.union(confirm_blocks(large.withColumn("ask", F.col("label") != F.col("main")), classes, texts, **options)).distinct()
+    final = merged(label, joined)
     class_of = classes.join(final, "id", "left").select("f0", "f1", F.coalesce("label", "id").alias("component_id"))
     slim = sk.select("id", "n", "f0", "f1")
     out = slim.filter("id IS NOT NULL AND n > 0").join(class_of, ["f0", "f1"]).select("id", "n", "component_id")
