@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import licenses, line_dedup, media, mixing, near_dedup, packing, quality_model, quality_rules, sharding, sql, tokens
+from . import licenses, line_dedup, media, mixing, near_dedup, packing, pipeline, quality_model, quality_rules, sharding, sql, tokens
 
 
 def queries():
@@ -19,7 +17,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_classifier": quality_model.op9_quality_classifier,
         "op10_near_dedup": near_dedup.op10_near_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
