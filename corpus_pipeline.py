@@ -1,62 +1,7 @@
-"""A training corpus from `documents`: five stages, each one operator of chronoloom.llm over all that came before."""
+"""A training corpus from `documents`, stage by stage; the stages are in chronoloom.llm.pipeline."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from chronoloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from chronoloom.llm import line_dedup, mixing, near_dedup, packing, quality_model, rows
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.5 or more)."""
-    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_model.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.filter("predicted = 1").select(*docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines removed but for their first bearer; a document that loses all its lines goes.
-
-    Three sites make a line boilerplate, two a line of over 50 words.
-    """
-    done = line_dedup.dedup_lines(docs, long_sites=line_dedup.LONG_SITES)
-    blank = F.trim(F.coalesce("text", F.lit("")), F.lit(rows.SPACES)) == ""
-    kept = done.filter(~((F.col("n_removed") > 0) & blank))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length).select(*docs.columns)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents as often as the mix takes them."""
-    return mixing.mix(docs).select(*docs.columns)
-
-
-def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences with their token ids."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality classifier", quality),
-    ("line dedup", lines),
-    ("near dedup", near_copies),
-    ("mixing", mixture),
-    ("packing", sequences),
-]
-
-#: The first stage is a trained model; tests compare every stage with a brute-force version instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = rows.checkpoint(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
