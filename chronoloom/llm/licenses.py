@@ -11,6 +11,7 @@ family's templates confirms it.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -175,13 +176,15 @@ TOKEN = r"[^a-z0-9]+"
 RUNS = (1, 2, 3, 4, 5, 6, 7, 8)
 #: White space, comment marks and comment words at the start of a line; a line of nothing else is blank.
 MARKS = r"(?md)^[^\p{L}\p{N}\n]*(?:(?:rem|REM|dnl)(?![\p{L}\p{N}]))?[^\p{L}\p{N}\n]*"
+#: A comment word at the start of a line: it would stand between the words of a wrapped notice.
+COMMENT = r"(?md)^[^\p{L}\p{N}\n]*(?:rem|REM|dnl)(?![\p{L}\p{N}])"
 #: A copyright line in normal form, and what stands for any year and holder.
 HOLDER = r"(?<![a-z0-9])(?:copyright (?:c |copy )?|(?:c|copy) (?=[0-9]{4} ))(?:[a-z0-9]+ ){0,20}?all rights reserved(?![a-z0-9])"
 ANY_HOLDER = "copyright c 2020 the authors all rights reserved"
 #: Texts with an n-gram of the model up to which their results are broadcast; more are joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 #: Weight of the L1 penalty, steps of its descent, and groups of notices that are left out in turn.
-PENALTY, ROUNDS, FOLDS = 6e-4, 120, 3
+PENALTY, ROUNDS, FOLDS = 1.5e-3, 120, 3
 #: Sentences of the unknown class in which an n-gram may occur to be a feature, and rows that it must occur in.
 MAX_OTHERS, MIN_ROWS = 1, 4
 
@@ -325,27 +328,61 @@ def narrowest(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_s", F.max("s").over(before)).filter(F.col("_s").isNull() | (F.col("_s") < F.col("s"))).drop("_s")
 
 
-def _told(text: Column) -> Column:
-    """Whether a text holds an n-gram of the model."""
-    words = F.split(F.lower(text), TOKEN, -1)
-    weights = model()[1]
+@functools.cache
+def reach() -> tuple[float, dict[str, float], dict[str, float]]:
+    """What a text's n-grams must add up to for any of its parts to be called a notice: need, and each n-gram's and
+    each word's share at most.
+
+    A family is named when its score exceeds that of the unknown class by need; an n-gram adds to the difference what it
+    adds to the best family and takes from the unknown class. A word stands for the n-grams in which it is the rarest.
+    """
+    _, weights, bias = model()
+    grams_ = {g: max(0.0, *w[1:]) - min(0.0, w[0]) for g, w in weights.items()}
+    seen: dict[str, int] = {}
+    for text in OTHERS:
+        for w in set(tokens(text)):
+            seen[w] = seen.get(w, 0) + 1
+    words: dict[str, float] = {}
+    for g, x in grams_.items():
+        rarest = min(g.split(" "), key=lambda w: (seen.get(w, 0), -len(w), w))
+        words[rarest] = words.get(rarest, 0.0) + x
+    return bias[0] - max(bias[1:]) + math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY)), grams_, words
+
+
+def _sum(found: Column, shares: dict[str, float]) -> Column:
+    """Sum of the shares of the distinct ones that are among them."""
+    names = sorted(shares)
+    known = F.split(F.lit(",".join(names)), ",")
+    table = F.map_from_arrays(known, F.array(*[F.lit(shares[g]) for g in names]))
+    return F.aggregate(F.array_intersect(found, known), F.lit(0.0), lambda a, g: a + F.element_at(table, g))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), TOKEN, -1)
+
+
+def _most(text: Column) -> Column:
+    """At most what the n-grams of the text add up to, by its words alone."""
+    return F.coalesce(_sum(_words(text), reach()[2]), F.lit(0.0))
 
-    def among(have: Column, n: int) -> Column:
-        return F.arrays_overlap(have, F.split(F.lit(",".join(sorted(g for g in weights if g.count(" ") == n - 1))), ","))
 
+def _bound(text: Column) -> Column:
+    """What the n-grams of the text add up to: no part of it can have more."""
+    words, shares = _words(text), reach()[1]
     two = lambda a, b: F.concat_ws(" ", a, b)
     shifted = lambda i: F.slice(words, i, F.greatest(F.size(words), F.lit(1)))
     couples = F.zip_with(words, shifted(2), two)
-    return F.coalesce(among(words, 1) | among(couples, 2) | among(F.zip_with(couples, shifted(3), two), 3), F.lit(False))
+    of = lambda n: {g: x for g, x in shares.items() if g.count(" ") == n - 1} or {"-": 0.0}
+    return F.coalesce(_sum(words, of(1)) + _sum(couples, of(2)) + _sum(F.zip_with(couples, shifted(3), two), of(3)), F.lit(0.0))
 
 
 def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: key, n_candidates, n_licenses, families, license, probability.
 
     A paragraph is what lies between blank lines; lines of comment marks alone are blank. Every text's n-grams are
-    looked up in the model; a line, run or text without any has the score of the unknown class. In a paragraph, every
-    other line and run of lines (RUNS, and the whole) is classified, so that wrapped notices are found.
-    n_candidates counts the lines with an n-gram of the model, n_licenses the confirmed runs that share no line with a
+    weighed by the model; where they cannot add up to a family's score, in the text, a paragraph or a run, the class is
+    unknown. In a paragraph, every line and run of lines (RUNS, and the whole) that is left is classified, so that
+    wrapped notices are found. n_candidates counts the lines that are left by themselves, n_licenses the confirmed runs that share no line with a
     counted one (earliest ends first, then the shortest), families lists the distinct families of all confirmed runs
     sorted and comma-separated. Of the runs of a family only the narrowest matter, and a run of several lines that
     shares one with a likelier such run of another family is a part of that notice (LGPL without its first words reads
@@ -355,20 +392,26 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     text_key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
     rated = df.select(F.col(key).alias("_id"), text_key.alias("_h"), F.col(text).alias("_text"))
-    first = rated.filter(_told(F.col("_text"))).groupBy("_h").agg(F.first("_text").alias("_text"))
+    need = reach()[0]
+    worded = F.col("_text").contains("REM") | F.col("_text").contains("rem") | F.col("_text").contains("dnl")
+    plain = F.when(worded & F.col("_text").rlike(COMMENT), F.regexp_replace("_text", MARKS, "")).otherwise(F.col("_text"))
+    first = rated.filter(_most(F.col("_text")) >= need).filter(_bound(plain) >= need).groupBy("_h").agg(F.first("_text").alias("_text"))
     parts = first.select("_h", F.explode(F.split(F.regexp_replace("_text", MARKS, ""), "\n{2,}")).alias("_t"))
     told = rows.checkpoint(parts.select("_h", F.struct(F.xxhash64("_t").alias("a"), F.xxhash64(F.lit(7), "_t").alias("b")).alias("_k"), F.split("_t", "\n").alias("_lines")))
     size = F.size("_lines")
-    joint = F.transform("_lines", lambda x, i: _told(F.concat_ws(" ", x, F.get("_lines", i + 1))))
-    marked = rows.checkpoint(told.dropDuplicates(["_k"]).select("_k", "_lines", F.transform("_lines", _told).alias("_has"), joint.alias("_joint")))
+    # What each line, and each line with the next one, adds up to: a run of several has at most the sum of the latter.
+    joint = F.transform("_lines", lambda x, i: _bound(F.concat_ws(" ", x, F.get("_lines", i + 1))))
+    marked = told.dropDuplicates(["_k"]).select("_k", "_lines", F.transform("_lines", lambda x: _bound(x) >= need).alias("_has"), joint.alias("_joint"))
+    added = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    marked = rows.checkpoint(marked.filter(added(F.col("_joint")) >= need))
 
     def spans(n: int):
         every = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda s: F.struct(s.alias("s"), (s + n - 1).alias("e"))))
-        hit = lambda x: F.get("_has", x["s"] - 1) if n == 1 else F.exists(F.slice("_joint", x["s"], F.lit(n - 1)), lambda h: h)
+        hit = lambda x: F.get("_has", x["s"] - 1) if n == 1 else added(F.slice("_joint", x["s"], F.lit(n - 1))) >= need
         return F.coalesce(F.filter(every, hit), F.array().cast("array<struct<s:int,e:int>>"))
 
     whole = F.when(size > max(RUNS), F.array(F.struct(F.lit(1).alias("s"), size.alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-    run = marked.filter(F.exists("_joint", lambda h: h)).select("_k", "_lines", F.explode(F.concat(*[spans(n) for n in RUNS], whole)).alias("_x"))
+    run = marked.select("_k", "_lines", F.explode(F.concat(*[spans(n) for n in RUNS], whole)).alias("_x"))
     run = run.select("_k", "_x.s", "_x.e", normal(F.array_join(F.slice("_lines", F.col("_x.s"), F.col("_x.e") - F.col("_x.s") + 1), " ")).alias("paragraph"))
     run = rows.checkpoint(run)
     known = classify(run.select("paragraph").distinct()).filter("confirmed")

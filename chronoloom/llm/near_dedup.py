@@ -4,12 +4,11 @@
 2. Equal sets form a class with the smallest id as representative; only representatives go on.
 3. Buckets of equal band keys. Each bucket's smallest id is compared with its members (a star, not all pairs), links
    are confirmed on the full sets, and components are built from them.
-4. Large buckets whose members still lie in several components: some PIVOTS members, chosen by hash, are compared with
-   those of other components, and the components are merged.
-5. Buckets that are mixed still: members outside the bucket's largest component are compared with those of all other
-   components, pair by pair in small buckets, block against block in larger ones. So every pair that shares a bucket is
-   either confirmed, refuted, or connected already, and a bucket of near copies makes rows in proportion to its members.
-6. Every row gets its class's component.
+4. Buckets whose members still lie in several components: members outside the bucket's largest component are compared
+   with those of all other components, pair by pair in small buckets, block against block in larger ones. So every pair
+   that shares a bucket is either confirmed, refuted, or connected already, and a bucket whose members are connected but
+   for a few makes rows in proportion to its members.
+5. Every row gets its class's component.
 """
 
 from __future__ import annotations
@@ -30,8 +29,6 @@ ROWS = 6
 SMALL = 12
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
-#: Members of a large mixed bucket, about, that are compared with all of its other components first.
-PIVOTS = 16
 #: Ids up to which the texts of candidates are found by a broadcast of these ids; beyond, by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -89,19 +86,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, *, text: str, percent: int, word
 
 
 def confirm_blocks(members: DataFrame, bands: DataFrame, texts: DataFrame, *, text: str, percent: int, words: int, block: int = BLOCK) -> DataFrame:
-    """members(bucket, id, n, label, ask) of large buckets: linked labels (a, b) of members that ask and any others.
+    """Members of large mixed buckets (as of mixed_buckets): linked labels (a, b) of those outside the largest component
+    and any others.
 
-    Askers and members are cut into blocks by hash, and every pair of their blocks is one task's group of at most some
-    2 * `block` documents: rows grow with askers * members / block, and with members alone where few ask. A pair that
-    shares several buckets is compared in the first of them.
+    Askers (those outside) and members are cut into blocks by hash, and every pair of their blocks is one task's group
+    of at most some 2 * `block` documents: rows grow with askers * members / block, and with members alone where few
+    ask. A pair that shares several buckets is compared in the first of them.
     """
-    cut = lambda count, load: F.greatest(F.ceil(count / block), F.ceil(load / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("bucket").agg(cut(F.count_if("ask"), F.sum(F.when(F.col("ask"), F.col("n")))).alias("_na"), cut(F.count("*"), F.sum("n")).alias("_nr")).filter("_na > 0")
-    spread = members.join(sizes, "bucket")
+    cut = lambda count, load: F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(load) / BLOCK_SHINGLES)).cast("int")
+    spread = members.withColumns({"_na": cut("asks", "ask_load"), "_nr": cut("m", "load")})
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), n).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = spread.filter("ask").select("bucket", own(1, F.col("_na")).alias("i"), copies("_nr").alias("j"), F.lit(0).alias("side"), "id", "n", "label")
-    spread = asks.unionByName(spread.select("bucket", copies("_na").alias("i"), own(2, F.col("_nr")).alias("j"), F.lit(1).alias("side"), "id", "n", "label"))
+    # One explode for both sides: a member is met by every block of askers, and an asker meets every block of members.
+    met = F.transform(F.sequence(F.lit(0), F.col("_na") - 1), lambda i: F.struct(i.alias("i"), own(2, F.col("_nr")).alias("j"), F.lit(1).alias("side")))
+    asks = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("_nr") - 1), lambda j: F.struct(own(1, F.col("_na")).alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    spots = F.explode(F.concat(met, F.coalesce(asks, F.array().cast("array<struct<i:int,j:int,side:int>>")))).alias("_x")
+    spread = spread.select("bucket", "id", "n", "label", spots).select("bucket", "_x.i", "_x.j", "_x.side", "id", "n", "label")
     wanted = rows.checkpoint(texts_of(rows.checkpoint(members.select("id").distinct()), texts, text).join(bands.select("id", "bands"), "id"))
     kind = members.schema["label"].dataType.simpleString()
 
@@ -166,11 +165,13 @@ def merged(label: DataFrame, links_: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (bucket, id, n, lead, label, m, main) of buckets in several components; main is the largest one's label."""
+    """Members (bucket, id, n, lead, label) of buckets in several components, with m and load (members and their
+    shingles), main (label of the largest component), asks and ask_load (those outside it)."""
     of = members.join(label, "id", "left").select("bucket", "id", "n", "lead", F.coalesce("label", "id").alias("label"))
-    per = of.groupBy("bucket", "label").agg(F.count("*").alias("_c"))
-    mixed = per.groupBy("bucket").agg(F.sum("_c").alias("m"), F.count("*").alias("_k"), F.max(F.struct("_c", "label")).alias("_m"))
-    return rows.checkpoint(of.join(mixed.filter("_k > 1 AND m > 2").select("bucket", "m", F.col("_m.label").alias("main")), "bucket"))
+    per = of.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("l"))
+    mixed = per.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum("l").alias("load"), F.count("*").alias("_k"), F.max(F.struct("c", "l", "label")).alias("_m")).filter("_k > 1 AND m > 2")
+    named = mixed.select("bucket", "m", "load", F.col("_m.label").alias("main"), (F.col("m") - F.col("_m.c")).alias("asks"), (F.col("load") - F.col("_m.l")).alias("ask_load"))
+    return rows.checkpoint(of.join(named, "bucket"))
 
 
 def near_duplicates(df: DataFrame, percent: int = PERCENT, *, bands: int = BANDS, band_rows: int = ROWS, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,12 +194,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, *, bands: int = BANDS
     label = components(confirm(stars, texts, **options))
     rest = mixed_buckets(members, label)
     large = rest.filter(F.col("m") > SMALL)
-    if not large.isEmpty():
-        chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 11) * F.lit(2.0**-53)
-        label = merged(label, confirm_blocks(large.withColumn("ask", chance * F.col("m") < PIVOTS), classes, texts, **options))
-        rest = mixed_buckets(members, label)
-        large = rest.filter(F.col("m") > SMALL)
-    # What stars and pivots left open.
+    # What the stars left open.
     few = rest.filter((F.col("m") <= SMALL) & (F.col("id") != F.col("lead")))
     one, two = few.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     cross = one.join(two, "bucket").filter((F.col("la") < F.col("lb")) & fit(F.col("na"), F.col("nb"))).select("a", "b", "la", "lb").distinct()
@@ -206,7 +202,7 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, *, bands: int = BANDS
     found = confirm(cross.select("a", "b"), texts, **options)
     joined = found.join(cross, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     if not large.isEmpty():
-        joined = joined.union(confirm_blocks(large.withColumn("ask", F.col("label") != F.col("main")), classes, texts, **options)).distinct()
+        joined = joined.union(confirm_blocks(large, classes, texts, **options)).distinct()
     final = merged(label, joined)
     class_of = classes.join(final, "id", "left").select("f0", "f1", F.coalesce("label", "id").alias("component_id"))
     slim = sk.select("id", "n", "f0", "f1")
