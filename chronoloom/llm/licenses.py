@@ -382,8 +382,8 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame
     A paragraph is what lies between blank lines; lines of comment marks alone are blank. Every text's n-grams are
     weighed by the model; where they cannot add up to a family's score, in the text, a paragraph or a run, the class is
     unknown. In a paragraph, every line and run of lines (RUNS, and the whole) that is left is classified, so that
-    wrapped notices are found. n_candidates counts the lines that are left by themselves, n_licenses the confirmed runs that share no line with a
-    counted one (earliest ends first, then the shortest), families lists the distinct families of all confirmed runs
+    wrapped notices are found. n_candidates counts the lines with an n-gram of the model in paragraphs that are left,
+    n_licenses the confirmed runs that share no line with a counted one (earliest ends first, then the shortest), families lists the distinct families of all confirmed runs
     sorted and comma-separated. Of the runs of a family only the narrowest matter, and a run of several lines that
     shares one with a likelier such run of another family is a part of that notice (LGPL without its first words reads
     like GPL); license is the family of the likeliest counted run (ties: by name), or null. Null and empty texts have
@@ -401,13 +401,13 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame
     size = F.size("_lines")
     # What each line, and each line with the next one, adds up to: a run of several has at most the sum of the latter.
     joint = F.transform("_lines", lambda x, i: _bound(F.concat_ws(" ", x, F.get("_lines", i + 1))))
-    marked = told.dropDuplicates(["_k"]).select("_k", "_lines", F.transform("_lines", lambda x: _bound(x) >= need).alias("_has"), joint.alias("_joint"))
+    marked = told.dropDuplicates(["_k"]).select("_k", "_lines", F.transform("_lines", _bound).alias("_own"), joint.alias("_joint"))
     added = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
     marked = rows.checkpoint(marked.filter(added(F.col("_joint")) >= need))
 
     def spans(n: int):
         every = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda s: F.struct(s.alias("s"), (s + n - 1).alias("e"))))
-        hit = lambda x: F.get("_has", x["s"] - 1) if n == 1 else added(F.slice("_joint", x["s"], F.lit(n - 1))) >= need
+        hit = lambda x: F.get("_own", x["s"] - 1) >= need if n == 1 else added(F.slice("_joint", x["s"], F.lit(n - 1))) >= need
         return F.coalesce(F.filter(every, hit), F.array().cast("array<struct<s:int,e:int>>"))
 
     whole = F.when(size > max(RUNS), F.array(F.struct(F.lit(1).alias("s"), size.alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
@@ -425,7 +425,7 @@ def scan(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame
     free = F.struct(F.lit(0).alias("e"), F.array().cast("array<struct<p:double,family:string>>").alias("got"))
     take = lambda a, r: F.when(-r["s"] > a["e"], F.struct(r["e"].alias("e"), F.concat(a["got"], F.array(F.struct(r["p"].alias("p"), r["family"].alias("family")))).alias("got"))).otherwise(a)
     best = best.select("_k", F.array_distinct(F.transform("_r", lambda r: r["family"])).alias("_f"), F.aggregate("_r", free, take)["got"].alias("_got"))
-    own = told.select("_h", "_k").join(marked.select("_k", F.size(F.filter("_has", lambda h: h)).alias("_n")), "_k").join(best, "_k", "left")
+    own = told.select("_h", "_k").join(marked.select("_k", F.size(F.filter("_own", lambda x: x > 0)).alias("_n")), "_k").join(best, "_k", "left")
     found = own.groupBy("_h").agg(
         F.sum("_n").alias("n_candidates"),
         F.sum(F.when(F.col("_got").isNotNull(), F.size("_got")).otherwise(0)).alias("n_licenses"),
