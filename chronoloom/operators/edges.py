@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a single sorted window numbers a whole table; larger tables are numbered range by range.
-SINGLE_WINDOW = 2_000_000
+from ..session import cut_lineage
 
 
-def assign_position(df: DataFrame, order: Sequence[str], name: str = "eid", rows: int | None = None, ranges: int | None = None) -> DataFrame:
-    """Position of each row, from 0, in a declared unique order.
+def assign_position(df: DataFrame, order: Sequence[str], name: str = "eid", keep: Sequence[str] | None = None) -> DataFrame:
+    """Position of each row, from 0, in a declared unique order; nulls come first. keep: columns to carry, all if not given.
 
-    Small tables (rows, counted if not given) are sorted in one window. Larger ones are cut into ranges of the first
-    order column at its quantiles; each range is numbered alone and starts where the counts of the ranges before end.
+    Rows are dealt by ranges of all order columns, sorted there and written once; a range's rows start where the counts
+    of the ranges before end. No task holds more than a range, whatever the order columns' values.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= SINGLE_WINDOW:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    ranges = ranges or -(-rows // SINGLE_WINDOW) * 4
-    cuts = sorted(set(df.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10_000)).first()[0]))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order[0])))
-    placed = df.withColumn("_range", part)
-    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # a row for each range
-    offset, begin = [], 0
-    for i in range(len(cuts) + 1):
-        offset.append(F.lit(begin).cast("long"))
-        begin += counts.get(i, 0)
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long") - 1
-    return placed.withColumn(name, F.element_at(F.array(*offset), F.col("_range") + 1) + inside).drop("_range")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper bits of this id are the partition, the lower 33 count its rows from 0.
+    placed = cut_lineage(ranged.select(*(keep if keep is not None else df.columns), F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33)
+    counts = {r["_p"]: r["n"] for r in placed.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect()}  # a row for each range
+    starts, begin = [], 0
+    for p in sorted(counts):
+        starts.append((p, begin))
+        begin += counts[p]
+    table = df.sparkSession.createDataFrame(starts, "_p long, _begin long")
+    here = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(name, F.col("_begin") + here).drop("_p", "_at", "_begin")
+
+
+def position_within(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """Position of each row, from 0, in its group, in an order that is unique there. A group of any size spreads over tasks.
+
+    Positions of the whole table, less the first one of the group.
+    """
+    carried = [*dict.fromkeys([*(df.columns if keep is None else keep), *by])]
+    placed = assign_position(df, [*by, *order], "_pos", carried)
+    first = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_pos").alias("_first"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)])
+    return placed.join(first, same).withColumn(name, F.col("_pos") - F.col("_first")).drop("_pos", "_first", *[f"_g{i}" for i in range(len(by))])
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Sum of a whole-number column over the rows up to each one, in a unique order; ranges are summed alone and start where others end."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.sum(value).alias("n")).collect()}  # a row for each range
+    starts, begin = [], 0
+    for p in sorted(sums):
+        starts.append((p, begin))
+        begin += sums[p] or 0
+    table = df.sparkSession.createDataFrame(starts, "_p int, _begin long")
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_s", inside).join(F.broadcast(table), "_p").withColumn(name, F.col("_begin") + F.col("_s")).drop("_p", "_s", "_begin")
+
+
+def running_within(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """running_total() that starts anew in each group; a group of any size spreads over tasks. No null groups."""
+    placed = running_total(df, [*by, *order], value, "_total")
+    first = placed.groupBy(*by).agg(F.min(F.col("_total") - F.col(value)).alias("_first"))
+    return placed.join(first, list(by)).withColumn(name, F.col("_total") - F.col("_first")).drop("_total", "_first")
 
 
 def split_by_position(edges: DataFrame, train: float = 0.7, val: float = 0.85) -> DataFrame:
@@ -125,10 +155,10 @@ def time_range(edges: DataFrame, begin: int, end: int) -> DataFrame:
 
 def bounds(edges: DataFrame, probes: DataFrame) -> DataFrame:
     """For probes(node, t): edges of the source before t (lower bound) and up to t (upper bound)."""
-    from .sampling import history_index, root_cuts
+    from .sampling import History
 
-    ix = history_index(edges, "out")
-    lower, upper = root_cuts(ix, probes), root_cuts(ix, probes, equal_root_time=True)
+    history = History(edges, "out")
+    lower, upper = history.cuts(probes), history.cuts(probes, equal_root_time=True)
     return lower.withColumnRenamed("cut", "lower_bound").join(upper.withColumnRenamed("cut", "upper_bound"), ["node", "t"])
 
 

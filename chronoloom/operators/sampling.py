@@ -1,91 +1,116 @@
 """Temporal neighbour sampling: bounded as-of joins, written as equi-joins on a rank index.
 
-Each node's history is numbered in (ts, eid) order. A root (node, t) becomes an interval of ranks by a running count,
-the ranks that a policy picks are enumerated, and one equi-join on (node, rank) fetches the edges. The work grows with
-roots times k, never with degree squared.
+Each node's history is numbered in (ts, eid) order, stretch by stretch of time, so that a node with a large share of
+all edges spreads over tasks. A root (node, t) becomes an interval of ranks by a running count within its stretch and
+the counts of the stretches before, the ranks that a policy picks are enumerated, and one equi-join on (node, rank)
+fetches the edges. The work grows with roots times k, never with degree squared.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def history_index(edges: DataFrame, direction: str = "in", by: tuple[str, ...] = (), time_bucket: int | None = None) -> DataFrame:
-    """node, nbr, ts, eid, rn and the columns in `by`; rn counts a node's edges (in a `by` group) from 1 by (ts, eid).
-
-    With time_bucket, a node's edges are numbered bucket by bucket of that many time units, so that a node with a large
-    share of all edges spreads over tasks.
-    """
-    ends = ("dst", "src") if direction == "in" else ("src", "dst")
-    held = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("nbr"), "ts", "eid", *by)
-    keys = ["node", *by]
-    if time_bucket is None:
-        return held.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "eid")))
-    held = held.withColumn("_b", F.floor(F.col("ts") / time_bucket))
-    counts = held.groupBy(*keys, "_b").count()
-    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offset = counts.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("ts", "eid"))
-    return held.withColumn("_rn", inside).join(offset, [*keys, "_b"]).withColumn("rn", (F.col("_before") + F.col("_rn")).cast("int")).drop("_b", "_rn", "_before")
-
-
-def root_cuts(ix: DataFrame, roots: DataFrame, *, equal_root_time: bool = False, shift: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
-    """For each distinct root (node, t and the columns in `by`): cut, its edges with ts < t + shift (or <=)."""
-    keys = ["node", *by]
-    edge_first = 0 if equal_root_time else 1
-    points = ix.select(*keys, F.col("ts").alias("_x"), F.lit(edge_first).alias("_o"), F.lit(None).cast("long").alias("t"), F.lit(1).alias("_e"))
-    asks = roots.select(*keys, (F.col("t") + shift).cast("long").alias("_x"), F.lit(1 - edge_first).alias("_o"), F.col("t").cast("long"), F.lit(0).alias("_e")).distinct()
-    w = Window.partitionBy(*keys).orderBy("_x", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return points.unionByName(asks).withColumn("cut", F.sum("_e").over(w).cast("int")).filter("_e = 0").select(*keys, "t", "cut")
-
-
-def _fetch(ix: DataFrame, picks: DataFrame, by: tuple[str, ...], keep_root_time: bool) -> DataFrame:
-    rows = picks.join(ix, ["node", *by, "rn"])
-    shown = F.col("t") if keep_root_time else F.col("ts")
-    return rows.select("node", "t", *by, "nbr", shown.alias("ts"), "eid", (F.col("t") - F.col("ts")).alias("dt"), F.col("rank").cast("long").alias("rank"))
+from ..session import cut_lineage
+
+#: Stretches into which the time span of a table is cut, unless their length is given.
+STRETCHES = 64
+
+
+class History:
+    """Edges by node: rows(node, nbr, ts, eid, rn and the columns in `by`), where rn counts a node's edges (in a `by`
+    group) from 1 by (ts, eid). reuse: written once, for several samples."""
+
+    def __init__(self, edges: DataFrame, direction: str = "in", by: tuple[str, ...] = (), time_bucket: int | None = None, reuse: bool = False):
+        if time_bucket is None:
+            lo, hi = edges.agg(F.min("ts"), F.max("ts")).first()
+            time_bucket = 1 if lo is None else (hi - lo) // STRETCHES + 1
+        self.by, self.keys, self.width = by, ["node", *by], time_bucket
+        ends = ("dst", "src") if direction == "in" else ("src", "dst")
+        held = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("nbr"), "ts", "eid", *by).withColumn("_b", self._stretch(F.col("ts")))
+        inside = F.row_number().over(Window.partitionBy(*self.keys, "_b").orderBy("ts", "eid"))
+        before = self._before(held.groupBy(*self.keys, "_b").agg(F.count("*").alias("_c")))
+        rows = held.withColumn("_rn", inside).join(before, [*self.keys, "_b"]).withColumn("rn", (F.col("_before") + F.col("_rn")).cast("int"))
+        self.rows = rows.drop("_b", "_rn", "_before")
+        if reuse:
+            self.rows = cut_lineage(self.rows)
+
+    def _stretch(self, ts: Column) -> Column:
+        return F.floor(ts / self.width)
+
+    def _before(self, counts: DataFrame) -> DataFrame:
+        """counts(keys, _b, _c): _before, the edges in a node's earlier stretches. A row for each node and stretch."""
+        earlier = F.sum("_c").over(Window.partitionBy(*self.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        return counts.select(*self.keys, "_b", F.coalesce(earlier, F.lit(0)).alias("_before"))
+
+    def cuts(self, roots: DataFrame, *, equal_root_time: bool = False, shift: int = 0) -> DataFrame:
+        """For each distinct root (node, t and the columns in `by`): cut, its edges with ts < t + shift (or <=)."""
+        first = 0 if equal_root_time else 1
+        points = self.rows.select(*self.keys, F.col("ts").alias("_x"), F.lit(first).alias("_o"), F.lit(None).cast("long").alias("t"), F.lit(1).alias("_e"))
+        asks = roots.select(*self.keys, (F.col("t") + shift).cast("long").alias("_x"), F.lit(1 - first).alias("_o"), F.col("t").cast("long"), F.lit(0).alias("_e")).distinct()
+        both = points.unionByName(asks).withColumn("_b", self._stretch(F.col("_x")))
+        before = self._before(both.groupBy(*self.keys, "_b").agg(F.sum("_e").alias("_c")))
+        inside = Window.partitionBy(*self.keys, "_b").orderBy("_x", "_o").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_n", F.sum("_e").over(inside)).filter("_e = 0").join(before, [*self.keys, "_b"])
+        return found.select(*self.keys, "t", (F.col("_before") + F.col("_n")).cast("int").alias("cut"))
+
+    def fetch(self, picks: DataFrame, keep_root_time: bool = False) -> DataFrame:
+        """The edges of picks(node, `by`, t, rn, rank)."""
+        rows = picks.join(self.rows, [*self.keys, "rn"])
+        shown = F.col("t") if keep_root_time else F.col("ts")
+        return rows.select("node", "t", *self.by, "nbr", shown.alias("ts"), "eid", (F.col("t") - F.col("ts")).alias("dt"), F.col("rank").cast("long").alias("rank"))
 
 
 def _ranks(lo: Column, hi: Column) -> Column:
     return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
+def _recent(history: History, roots: DataFrame, k: int, *, equal_root_time: bool = False, keep_root_time: bool = False, window: int | None = None) -> DataFrame:
+    cuts = history.cuts(roots, equal_root_time=equal_root_time)
+    low = F.greatest(F.col("cut") - (k - 1), F.lit(1))
+    if window is not None:
+        cuts = cuts.join(history.cuts(roots, shift=-window).withColumnRenamed("cut", "_from"), ["node", "t"])
+        low = F.greatest(low, F.col("_from") + 1)
+    picks = cuts.select("node", "t", "cut", F.explode(_ranks(low, F.col("cut"))).alias("rn")).withColumn("rank", F.col("cut") - F.col("rn") + 1)
+    return history.fetch(picks, keep_root_time)
+
+
 def sample_recent(edges: DataFrame, roots: DataFrame, k: int, *, direction: str = "in", equal_root_time: bool = False, keep_root_time: bool = False, window: int | None = None, time_bucket: int | None = None) -> DataFrame:
     """The k latest edges before each root (node, t); rank 1 is the latest. window: only those with ts >= t - window.
 
     Roots without history give no row; repeated roots count once; a null node or time never matches.
     """
-    ix = history_index(edges, direction, time_bucket=time_bucket)
-    cuts = root_cuts(ix, roots, equal_root_time=equal_root_time)
-    low = F.greatest(F.col("cut") - (k - 1), F.lit(1))
-    if window is not None:
-        cuts = cuts.join(root_cuts(ix, roots, shift=-window).withColumnRenamed("cut", "_from"), ["node", "t"])
-        low = F.greatest(low, F.col("_from") + 1)
-    picks = cuts.select("node", "t", "cut", F.explode(_ranks(low, F.col("cut"))).alias("rn")).withColumn("rank", F.col("cut") - F.col("rn") + 1)
-    return _fetch(ix, picks, (), keep_root_time)
+    return _recent(History(edges, direction, time_bucket=time_bucket), roots, k, equal_root_time=equal_root_time, keep_root_time=keep_root_time, window=window)
 
 
 def sample_full(edges: DataFrame, roots: DataFrame, *, direction: str = "in", equal_root_time: bool = False) -> DataFrame:
     """All edges before each root."""
-    ix = history_index(edges, direction)
-    picks = root_cuts(ix, roots, equal_root_time=equal_root_time).select("node", "t", "cut", F.explode(_ranks(F.lit(1), F.col("cut"))).alias("rn")).withColumn("rank", F.col("cut") - F.col("rn") + 1)
-    return _fetch(ix, picks, (), False)
+    history = History(edges, direction)
+    cuts = history.cuts(roots, equal_root_time=equal_root_time)
+    return history.fetch(cuts.select("node", "t", "cut", F.explode(_ranks(F.lit(1), F.col("cut"))).alias("rn")).withColumn("rank", F.col("cut") - F.col("rn") + 1))
 
 
 def sample_uniform(edges: DataFrame, roots: DataFrame, k: int, *, direction: str = "in", seed: int = 1317) -> DataFrame:
-    """At most k edges before each root, without replacement, in time order.
+    """At most k edges before each root, in time order: each set of k of them is as likely as any other.
 
-    Systematic sampling: a hashed start and equal steps through the root's ranks, so that no more than k are touched.
+    Drawn without replacement by Floyd's method: the j-th draw is a number from 1 to n - k + j, or, where that is taken,
+    n - k + j itself. So k hashes a root suffice, however long its history is.
     """
-    ix = history_index(edges, direction)
-    cuts = root_cuts(ix, roots).filter("cut > 0")
-    start = F.pmod(F.col("node") * 40503 + F.col("t") * 9973 + seed, F.col("cut")).cast("int")
-    step = F.expr(f"cut div {k}").cast("int")
-    some = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.pmod(start + j * step, F.col("cut")).cast("int") + 1)
-    ranks = F.when(F.col("cut") <= k, F.sequence(F.lit(1), F.col("cut"))).otherwise(F.array_sort(some))
-    picks = cuts.select("node", "t", F.posexplode(ranks).alias("_j", "rn")).withColumn("rank", F.col("_j") + 1)
-    return _fetch(ix, picks, (), False)
+    history = History(edges, direction)
+    cuts = history.cuts(roots).filter("cut > 0")
+    draw = lambda j: F.conv(F.substring(F.md5(F.concat_ws("|", "node", "t", F.lit(seed), j)), 1, 12), 16, 10).cast("long")
+
+    def step(taken: Column, j: Column) -> Column:
+        top = F.col("cut") - k + j
+        one = (F.pmod(draw(j), top) + 1).cast("int")
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, one), top).otherwise(one)))
+
+    some = F.array_sort(F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast("array<int>"), step))
+    ranks = F.when(F.col("cut") <= k, F.sequence(F.lit(1), F.col("cut"))).otherwise(some)
+    return history.fetch(cuts.select("node", "t", F.posexplode(ranks).alias("_j", "rn")).withColumn("rank", F.col("_j") + 1))
 
 
 def sample_window(edges: DataFrame, roots: DataFrame, start: int, end: int, *, k: int | None = None, direction: str = "in", by: tuple[str, ...] = ()) -> DataFrame:
@@ -93,12 +118,12 @@ def sample_window(edges: DataFrame, roots: DataFrame, start: int, end: int, *, k
 
     by: further columns that edge and root share, a cluster for example.
     """
-    ix = history_index(edges, direction, by)
-    lo = root_cuts(ix, roots, shift=start, by=by).withColumnRenamed("cut", "_lo")
-    hi = root_cuts(ix, roots, shift=end, by=by).withColumnRenamed("cut", "_hi")
+    history = History(edges, direction, by)
+    lo = history.cuts(roots, shift=start).withColumnRenamed("cut", "_lo")
+    hi = history.cuts(roots, shift=end).withColumnRenamed("cut", "_hi")
     last = F.col("_hi") if k is None else F.least(F.col("_hi"), F.col("_lo") + k)
     picks = lo.join(hi, ["node", *by, "t"]).select("node", *by, "t", "_lo", F.explode(_ranks(F.col("_lo") + 1, last)).alias("rn")).withColumn("rank", F.col("rn") - F.col("_lo"))
-    return _fetch(ix, picks, by, True)
+    return history.fetch(picks, True)
 
 
 def sample_recent_window_unsupported(*_args, **_kwargs):
@@ -110,43 +135,49 @@ def sample_nearest(edges: DataFrame, roots: DataFrame, k: int, *, direction: str
 
     Of the ranks around the root's cut, k on each side hold the answer, so only these are fetched and ranked.
     """
-    ix = history_index(edges, direction)
-    size = ix.groupBy("node").agg(F.max("rn").alias("_n"))
+    history = History(edges, direction)
+    size = history.rows.groupBy("node").agg(F.max("rn").alias("_n"))
     # Equal distances on a tie block: before the cut the block's first edges win, so its start is fetched, too.
-    cuts = root_cuts(ix, roots).join(size, "node")
+    cuts = history.cuts(roots).join(size, "node")
     around = cuts.select("node", "t", F.explode(_ranks(F.greatest(F.col("cut") - (k - 1), F.lit(1)), F.least(F.col("_n"), F.col("cut") + k))).alias("rn"))
-    far = around.join(ix, ["node", "rn"]).groupBy("node", "t").agg(F.get(F.sort_array(F.collect_list(F.abs(F.col("ts") - F.col("t")))), k - 1).alias("_far"))
-    w = root_cuts(ix, roots)
-    near = w.join(far, ["node", "t"]).join(size, "node")
-    lo = root_ranks(ix, near, F.col("t") - F.coalesce("_far", F.lit(1 << 60)), "_lo", False)
-    hi = root_ranks(ix, near, F.col("t") + F.coalesce("_far", F.lit(1 << 60)), "_hi", True)
-    picks = lo.join(hi, ["node", "t"]).select("node", "t", F.explode(_ranks(F.col("_lo") + 1, F.col("_hi"))).alias("rn"), F.lit(0).alias("rank"))
-    found = _fetch(ix, picks, (), False)
+    far = around.join(history.rows, ["node", "rn"]).groupBy("node", "t").agg(F.get(F.sort_array(F.collect_list(F.abs(F.col("ts") - F.col("t")))), k - 1).alias("_far"))  # 2 k at most
+    near = cuts.select("node", "t").join(far, ["node", "t"])
+    reach = F.coalesce("_far", F.lit(1 << 60))
+    lo = _cuts_at(history, near, F.col("t") - reach, "_lo", False)
+    hi = _cuts_at(history, near, F.col("t") + reach, "_hi", True)
+    found = history.fetch(lo.join(hi, ["node", "t"]).select("node", "t", F.explode(_ranks(F.col("_lo") + 1, F.col("_hi"))).alias("rn"), F.lit(0).alias("rank")))
     order = Window.partitionBy("node", "t").orderBy(F.abs(F.col("ts") - F.col("t")), "ts", "eid")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
-def root_ranks(ix: DataFrame, roots: DataFrame, at: Column, name: str, equal: bool) -> DataFrame:
+def _cuts_at(history: History, roots: DataFrame, at: Column, name: str, equal: bool) -> DataFrame:
     """Edges before (or up to) a time of each root's own."""
     moved = roots.select("node", "t", at.cast("long").alias("_at"))
-    cuts = root_cuts(ix, moved.select("node", F.col("_at").alias("t")), equal_root_time=equal)
+    cuts = history.cuts(moved.select("node", F.col("_at").alias("t")), equal_root_time=equal)
     return moved.join(cuts.select("node", F.col("t").alias("_at"), F.col("cut").alias(name)), ["node", "_at"]).select("node", "t", name)
 
 
 def sample_distinct(edges: DataFrame, roots: DataFrame, k: int, *, direction: str = "in") -> DataFrame:
     """Up to k distinct neighbours with ts <= t, each with its latest edge, latest first. Exact, without a filter sketch.
 
-    A neighbour's latest edge before a root is one that no later edge to the same neighbour precedes the root: edges
-    carry the time of the next edge to the same neighbour.
+    Each root's latest ranks are fetched, four times as many in each round, until they hold k neighbours or the whole
+    history; only roots that have not got there go on.
     """
-    ends = ("dst", "src") if direction == "in" else ("src", "dst")
-    held = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("nbr"), "ts", "eid")
-    nxt = F.lead("ts").over(Window.partitionBy("node", "nbr").orderBy("ts", "eid"))
-    held = held.withColumn("_next", nxt)
-    asks = roots.select("node", F.col("t").cast("long")).distinct()
-    rows = asks.join(held, "node").filter((F.col("ts") <= F.col("t")) & (F.col("_next").isNull() | (F.col("_next") > F.col("t"))))
+    history = History(edges, direction, reuse=True)
+    left, span, done = cut_lineage(history.cuts(roots, equal_root_time=True).filter("cut > 0")), 4 * k, []
     order = Window.partitionBy("node", "t").orderBy(F.desc("ts"), F.desc("eid"))
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("node", "t", "nbr", "ts", "eid", (F.col("t") - F.col("ts")).alias("dt"), "rank")
+    while not left.isEmpty():
+        picks = left.select("node", "t", F.explode(_ranks(F.greatest(F.col("cut") - (span - 1), F.lit(1)), F.col("cut"))).alias("rn"), F.lit(0).alias("rank"))
+        last = history.fetch(picks).groupBy("node", "t", "nbr").agg(F.max(F.struct("ts", "eid")).alias("_m"))
+        some = last.select("node", "t", "nbr", "_m.ts", "_m.eid").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+        some = cut_lineage(some)
+        full = some.groupBy("node", "t").agg(F.count("*").alias("_d")).filter(F.col("_d") >= k).select("node", "t")
+        rest = cut_lineage(left.filter(F.col("cut") > span).join(full, ["node", "t"], "left_anti"))
+        done.append(some.join(rest.select("node", "t"), ["node", "t"], "left_anti"))
+        left, span = rest, span * 4
+    if not done:
+        return history.fetch(left.select("node", "t", F.col("cut").alias("rn"), F.lit(0).alias("rank")))
+    return functools.reduce(DataFrame.unionByName, done).select("node", "t", "nbr", "ts", "eid", (F.col("t") - F.col("ts")).alias("dt"), "rank")
 
 
 POLICIES = {0: "recent", 1: "uniform", 2: "cluster", 3: "full"}
@@ -171,11 +202,15 @@ def sample(edges: DataFrame, roots: DataFrame, policy: str | int = "recent", k:
 def khop_sample(edges: DataFrame, roots: DataFrame, fanouts: list[int], *, direction: str = "in") -> DataFrame:
     """Layers of sample_recent: the roots of a layer are the distinct (neighbour, its ts) of the layer before.
 
-    Time strictly decreases along a path. The number of layers is small and fixed; each layer's roots are distinct.
+    Time strictly decreases along a path. The number of layers is small and fixed; each layer's roots are distinct, and
+    all layers ask one index that is written once.
     """
+    history = History(edges, direction, reuse=True)
     out, front = None, roots.select("node", "t").distinct()
     for layer, k in enumerate(fanouts):
-        got = sample_recent(edges, front, k, direction=direction).withColumn("layer", F.lit(layer))
+        got = _recent(history, front, k).withColumn("layer", F.lit(layer))
+        if layer + 1 < len(fanouts):
+            got = cut_lineage(got)
         out = got if out is None else out.unionByName(got)
         front = got.select(F.col("nbr").alias("node"), F.col("ts").alias("t")).distinct()
     return out

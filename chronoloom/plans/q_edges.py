@@ -87,9 +87,9 @@ def _(t: Tables):
     return E.drop_self_loops(small_world(t))
 
 
-@query("bidirect", EDGES + LOOPS + " SELECT src, dst FROM l UNION SELECT dst, src FROM l")
+@query("bidirect", EDGES + " SELECT src, dst FROM e UNION SELECT dst, src FROM e")
 def _(t: Tables):
-    return E.bidirect(small_world(t))
+    return E.bidirect(t.purchase_edges())
 
 
 HOT = """, dg AS (SELECT node, count(*) AS deg FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node),

@@ -28,7 +28,7 @@ def _(t: Tables):
 
 @query("edge_rank", EDGES + " SELECT src AS node, dst AS nbr, ts, eid, row_number() OVER (PARTITION BY src ORDER BY ts, eid) AS rn FROM e")
 def _(t: Tables):
-    return S.history_index(t.purchase_edges(), "out", time_bucket=365).withColumn("rn", F.col("rn").cast("long"))
+    return S.History(t.purchase_edges(), "out").rows.withColumn("rn", F.col("rn").cast("long"))
 
 
 @query("sample_recent_in", EDGES + """, r AS (SELECT DISTINCT dst AS node, ts AS t FROM e), j AS (SELECT node, t, src AS nbr, ts, eid, t - ts AS dt,
@@ -66,9 +66,18 @@ def _(t: Tables):
     return summed(S.sample(t.purchase_edges(), t.roots(), "cluster", direction="out"))
 
 
-@query("sample_uniform", BEFORE + """, k AS (SELECT *, (node * 40503 + t * 9973 + 1317) % cut AS start FROM j)
-SELECT node, t, nbr, ts, eid, dt, row_number() OVER (PARTITION BY node, t ORDER BY ts, eid) AS rank FROM k
-WHERE cut <= 5 OR list_contains(list_transform(range(5), lambda i: (start + i * (cut // 5)) % cut + 1), pos)""")
+def floyd(k: int) -> str:
+    """Draws 1 to k as columns s1 to sk: the number that the hash gives, or the draw's largest where that is taken."""
+    out = "SELECT *"
+    for j in range(1, k + 1):
+        draw = f"1 + ('0x' || substr(md5(node || '|' || t || '|1317|' || {j}), 1, 12))::BIGINT % (cut - {k - j})"
+        taken = ", ".join(f"s{i}" for i in range(1, j)) or "0"
+        out = f"SELECT *, CASE WHEN {draw} IN ({taken}) THEN cut - {k - j} ELSE {draw} END AS s{j} FROM ({out if j > 1 else 'SELECT * FROM roots'})"
+    return out
+
+
+@query("sample_uniform", BEFORE + f""", roots AS (SELECT DISTINCT node, t, cut FROM j WHERE cut > 5), d AS ({floyd(5)}), k AS (SELECT j.* FROM j LEFT JOIN d USING (node, t) WHERE j.cut <= 5 OR pos IN (s1, s2, s3, s4, s5))
+SELECT node, t, nbr, ts, eid, dt, row_number() OVER (PARTITION BY node, t ORDER BY ts, eid) AS rank FROM k""")
 def _(t: Tables):
     return tidy(S.sample_uniform(t.purchase_edges(), t.roots(), 5, direction="out"))
 
@@ -108,9 +117,17 @@ def _(t: Tables):
     return tidy(S.sample_recent(t.purchase_edges(), t.roots(), 4, direction="out", keep_root_time=True))
 
 
-@query("sample_dispatch", BEFORE + " SELECT node, t, nbr, ts, eid, dt, rank FROM j WHERE rank <= 2")
+DISPATCH = {"no such policy": "rank <= 2", 0: "rank <= 2", "recent": "rank <= 2", "full": "rank > 0", 3: "rank > 0", 2: "rank > 0"}
+
+
+@query("sample_dispatch", BEFORE + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, node, t, count(*)::BIGINT AS n, sum(eid)::BIGINT AS eid_sum, sum(rank * dt)::BIGINT AS ranked FROM j WHERE {where} GROUP BY node, t" for p, where in DISPATCH.items()))
 def _(t: Tables):
-    return tidy(S.sample(t.purchase_edges(), t.roots(), "no such policy", 2, direction="out"))
+    e, roots, out = t.purchase_edges(), t.roots(), None
+    for policy in DISPATCH:
+        got = S.sample(e, roots, policy, 2, direction="out").groupBy("node", "t").agg(F.count("*").alias("n"), F.sum("eid").alias("eid_sum"), F.sum(F.col("rank") * F.col("dt")).alias("ranked"))
+        got = got.select(F.lit(str(policy)).alias("policy"), "node", "t", "n", "eid_sum", "ranked")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("sample_nearest", ROOTS + """, j AS (SELECT node, t, dst AS nbr, ts, eid, t - ts AS dt, row_number() OVER (PARTITION BY node, t ORDER BY abs(ts - t), ts, eid) AS rank

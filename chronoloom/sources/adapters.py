@@ -19,23 +19,29 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._purchases: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def purchase_edges(self) -> DataFrame:
-        """eid, src (customer), dst (part, shifted), ts (days since 1992), w (quantity), label (returned)."""
-        lines = self.table("lineitem")
-        numbered = assign_position(lines.select(*LINE_KEY, "l_quantity", "l_returnflag"), LINE_KEY, rows=lines.count())
-        orders = self.table("orders").select("o_orderkey", "o_custkey")
-        return numbered.join(orders, numbered["l_orderkey"] == orders["o_orderkey"]).select(
-            "eid",
-            F.col("o_custkey").alias("src"),
-            (F.col("l_partkey") + DST_BASE).alias("dst"),
-            F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("ts"),
-            F.col("l_quantity").alias("w"),
-            (F.col("l_returnflag") == "R").cast("int").alias("label"),
-        )
+        """eid, src (customer), dst (part, shifted), ts (days since 1992), w (quantity), label (returned).
+
+        Numbered and written once for all uses in a query.
+        """
+        if self._purchases is None:
+            orders = self.table("orders").select("o_orderkey", "o_custkey")
+            rows = self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+                *LINE_KEY,
+                F.col("o_custkey").alias("src"),
+                (F.col("l_partkey") + DST_BASE).alias("dst"),
+                F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("ts"),
+                F.col("l_quantity").alias("w"),
+                (F.col("l_returnflag") == "R").cast("int").alias("label"),
+            )
+            numbered = assign_position(rows, LINE_KEY, keep=("src", "dst", "ts", "w", "label"))
+            self._purchases = numbered.select("eid", "src", "dst", "ts", "w", "label")
+        return self._purchases
 
     def event_edges(self) -> DataFrame:
         """eid (event), src (user), dst (event type, numbered and shifted), ts (microseconds), w (value)."""

@@ -20,17 +20,18 @@ class Preset:
     sep: str
     skiptime: int
     lags: int
+    enabled: bool = True
 
 
 #: The declared data sets.
 PRESETS = (
-    Preset("ia-slashdot-reply-dir", 200, 2, r"\s+", 1, 30),
+    Preset("ia-slashdot-reply-dir", 200, 2, r"\s+", 1, 30, False),
     Preset("rec-amazon-ratings", 100, 2, ",", 1, 30),
-    Preset("rec-amz-Books", 100, 0, ",", 0, 0),
+    Preset("rec-amz-Books", 100, 0, ",", 0, 0, False),
     Preset("soc-bitcoin", 100, 0, r"\s+", 1, 10),
     Preset("soc-flickr-growth", 100, 1, r"\s+", 1, 30),
     Preset("soc-youtube-growth", 100, 2, r"\s+", 1, 20),
-    Preset("stackexch", 200, 2, r"\s+", 1, 30),
+    Preset("stackexch", 200, 2, r"\s+", 1, 30, False),
 )
 
 
@@ -47,17 +48,16 @@ def scan_edges_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, skip: int) -> DataFrame:
-    """Lines of a text file without its first `skip` ones. These are found by offset, so that the file stays splittable."""
+    """Lines of text files without the first `skip` of each. These are found by offset, so that files stay splittable."""
     lines = spark.read.text(path)
     if not skip:
         return lines
-    head = [r["value"] for r in lines.limit(skip).collect()]  # skip lines
-    first = F.col("_metadata.file_block_start") == 0
-    here = lines.select("value", first.alias("_first"), F.monotonically_increasing_id().alias("_i"))
-    drop = here.filter("_first").groupBy().agg(F.min("_i").alias("_b"))
+    # Lines of a file's first block carry rising numbers; the head is a file's `skip` smallest.
+    here = lines.select("value", F.col("_metadata.file_path").alias("_f"), (F.col("_metadata.file_block_start") == 0).alias("_first"), F.monotonically_increasing_id().alias("_i"))
+    begin = here.filter("_first").groupBy("_f").agg(F.min("_i").alias("_b"))  # a row for each file
     # Null rather than filtered at once: what follows then depends on the join and is not evaluated on lines before it.
-    value = F.when(F.col("_first") & (F.col("_i") < F.col("_b") + len(head)), F.lit(None)).otherwise(F.col("value"))
-    return here.crossJoin(F.broadcast(drop)).select(value.alias("value")).filter("value IS NOT NULL")  # one row
+    value = F.when(F.col("_first") & (F.col("_i") < F.col("_b") + skip), F.lit(None)).otherwise(F.col("value"))
+    return here.join(begin, "_f", "left").select(value.alias("value")).filter("value IS NOT NULL")
 
 
 def scan_edges_ws(spark: SparkSession, path: str, skip: int = 2, sep: str = r"\s+") -> DataFrame:
