@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .edges import assign_position
+from .edges import assign_position, position_within
 
 
 def task_link(edges: DataFrame) -> DataFrame:
@@ -29,8 +28,7 @@ def negatives(edges: DataFrame, num_neg: int = 1, num_set: int = 1, seed: int =
     keys = [part] if part else []
     pool = edges.select(*keys, "dst").distinct()
     if part:
-        w = Window.partitionBy(part)
-        pool = pool.withColumn("idx", F.row_number().over(w.orderBy("dst")).cast("long") - 1)
+        pool = position_within(pool, [part], ["dst"], "idx")
         sizes = pool.groupBy(part).agg(F.count("*").alias("_n"))
     else:
         pool = assign_position(pool, ["dst"], "idx")
@@ -101,3 +99,37 @@ def async_snapshots(edges: DataFrame, node_chunks: DataFrame, asks: list[tuple[i
         got = chunk_seeds(edges, node_chunks, chunks, begin, end).withColumns({"query_id": F.lit(i), "tag": F.lit("f" if i else "r")})
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def slot_batches(positives: DataFrame, negatives: DataFrame, slots_per_step: int, epoch: int = 0) -> DataFrame:
+    """positives(part, slot, eid, ...), negatives(part, slot, neg_set, eid, ...): the batches of an epoch, merged into steps.
+
+    Slots follow each other in time; a step takes `slots_per_step` of them, from every part, so that all parts meet in
+    the same step; the epoch chooses the negative set, in turn. Columns of both and step, kind ('pos' or 'neg').
+    """
+    kept = negatives.groupBy().agg((F.max("neg_set") + 1).alias("_sets"))
+    chosen = negatives.crossJoin(F.broadcast(kept)).filter(F.col("neg_set") == F.lit(epoch) % F.col("_sets")).drop("neg_set", "_sets")  # one row
+    rows = positives.withColumn("kind", F.lit("pos")).unionByName(chosen.withColumn("kind", F.lit("neg")))
+    order = assign_position(positives.select("slot").distinct(), ["slot"], "_o")  # a row for each slot
+    return rows.join(order, "slot").withColumn("step", F.expr(f"_o div {slots_per_step}")).drop("_o")
+
+
+def batch_inputs(nodes: DataFrame, parts: DataFrame, features: DataFrame, memory: DataFrame, mail: DataFrame, history: DataFrame) -> DataFrame:
+    """nodes(part, local_id, node, ts) of the parts' blocks with all that a model reads for them.
+
+    x (features), mem and mem_ts (memory), mail and mail_ts, hist and hist_ts (the last published history up to ts), and
+    is_remote: the node belongs to another part. What a node lacks is null.
+    """
+    from .state import stale_history_read
+
+    past = stale_history_read(nodes.select("node", F.col("ts").alias("t")), history).select("node", F.col("t").alias("ts"), F.col("ts").alias("hist_ts"), F.col("h").alias("hist"))
+    rows = nodes.join(parts.select("node", F.col("part").alias("_owner")), "node", "left")
+    rows = rows.join(features.select("node", "x"), "node", "left")
+    rows = rows.join(memory.select("node", F.col("h").alias("mem"), F.col("ts").alias("mem_ts")), "node", "left")
+    rows = rows.join(mail.select("node", "mail", F.col("ts").alias("mail_ts")), "node", "left").join(past, ["node", "ts"], "left")
+    return rows.withColumn("is_remote", ~F.col("_owner").eqNullSafe(F.col("part"))).drop("_owner")
+
+
+def edge_inputs(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """Block edges with their events' features(eid, f)."""
+    return edges.join(features.select("eid", "f"), "eid", "left")

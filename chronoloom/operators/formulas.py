@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+from .edges import position_within, running_total
+
 
 def window_degree(events: DataFrame, width: int) -> DataFrame:
     """events(node, ts): interactions of the node in (ts - width, ts], at each of its times."""
@@ -13,31 +19,43 @@ def window_degree(events: DataFrame, width: int) -> DataFrame:
     return per.withColumn("deg", F.sum("_c").over(Window.partitionBy("node").orderBy("ts").rangeBetween(-width + 1, 0))).drop("_c")
 
 
+#: Length of a stretch of decay, in which sums are scaled without overflow, and stretches behind which nothing is left (e**-700).
+STRETCH, REACH = 50.0, 14
+
+
+def decayed_before(rows: DataFrame, keys: list[str], time: str, weight: str, name: str) -> DataFrame:
+    """Adds the sum of weight * exp(-(time - earlier time)) over a key's strictly earlier rows; times are unique in a key.
+
+    Inside a stretch of time by one prefix sum, scaled to its beginning; across stretches by their totals. So a key's
+    history spreads over tasks and its rows are never gathered in one.
+    """
+    rows = rows.withColumn("_b", F.floor(F.col(time) / STRETCH))
+    begin = F.col("_b") * STRETCH
+    earlier = Window.partitionBy(*keys, "_b").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.col(weight) * F.exp(F.col(time) - begin)).over(earlier), F.lit(0.0))
+    totals = rows.groupBy(*keys, "_b").agg(F.sum(F.col(weight) * F.exp(F.col(time) - begin - STRETCH)).alias("_r"))
+    later = totals.select(*keys, "_b", "_r", F.explode(F.sequence(F.lit(1), F.lit(REACH))).alias("_d"))
+    carried = later.groupBy(*keys, (F.col("_b") + F.col("_d")).alias("_b")).agg(F.sum(F.col("_r") * F.exp((1 - F.col("_d")) * STRETCH)).alias("_q"))
+    done = rows.withColumn("_in", inside).join(carried, [*keys, "_b"], "left")
+    return done.withColumn(name, (F.col("_in") + F.coalesce("_q", F.lit(0.0))) * F.exp(F.col("_b") * STRETCH - F.col(time))).drop("_b", "_in", "_q")
+
+
 def ema(rows: DataFrame, alpha: float, value: str = "deg", order: str = "step", name: str = "heat") -> DataFrame:
     """h = alpha value + (1 - alpha) h before, from 0, along each node's ordered steps: one row a step."""
-    seq = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("s"))
-    start = F.array().cast("array<double>")
-    heat = F.aggregate("s", start, lambda a, r: F.concat(a, F.array(r["v"] * alpha + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) * (1 - alpha))))
-    return seq.select("node", F.explode(F.arrays_zip(F.col(f"s.{order}").alias(order), heat.alias("h"))).alias("z")).select("node", F.col(f"z.{order}").alias(order), F.col("z.h").alias(name))
+    rows = rows.select("node", order, (F.col(value) * alpha).cast("double").alias("_v"))
+    if alpha >= 1:
+        return rows.withColumnRenamed("_v", name)
+    placed = position_within(rows, ["node"], [order], "_i").withColumn("_t", F.col("_i") * -math.log(1 - alpha))
+    return decayed_before(placed, ["node"], "_t", "_v", "_s").select("node", order, (F.col("_v") + F.col("_s")).alias(name))
 
 
 def hawkes_intensity(events: DataFrame, mu: float, alpha: float, omega: float) -> DataFrame:
     """events(pair columns src, dst, ts): mu + sum of alpha exp(-omega (ts - t_k)) over earlier events of the pair.
 
-    In closed form along the ordered times: the sum decays by exp(-omega gap) and grows by alpha for each event, so a
-    running fold replaces the self join. Events at the same time do not count for each other.
+    Events at the same time do not count for each other.
     """
-    per = events.groupBy("src", "dst", "ts").agg(F.count("*").alias("c"))
-    seq = per.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("ts", "c"))).alias("s"))
-    row = "array<struct<ts:bigint,v:double,after:double>>"
-
-    def step(a, r):
-        last = F.get(a, F.size(a) - 1)
-        level = F.coalesce(last["after"] * F.exp((last["ts"] - r["ts"]).cast("double") * omega), F.lit(0.0))
-        return F.concat(a, F.array(F.struct(r["ts"].alias("ts"), level.alias("v"), (level + r["c"] * F.lit(alpha)).alias("after"))))
-
-    folded = F.aggregate("s", F.array().cast(row), step)
-    return seq.select("src", "dst", F.explode(folded).alias("z")).select("src", "dst", F.col("z.ts").alias("ts"), (F.col("z.v") + mu).alias("intensity"))
+    per = events.groupBy("src", "dst", "ts").agg((F.count("*") * alpha).alias("_w")).withColumn("_t", F.col("ts") * omega)
+    return decayed_before(per, ["src", "dst"], "_t", "_w", "_s").select("src", "dst", "ts", (F.col("_s") + mu).alias("intensity"))
 
 
 def partition_objective(edges: DataFrame, parts: DataFrame, before: DataFrame, *, beta: float, eta: float) -> DataFrame:
@@ -76,15 +94,32 @@ def cache_topk(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "node").limit(k)
 
 
-def cache_budget(scores: DataFrame, budget: float, ranges: int = 1) -> DataFrame:
-    """scores(node, score, size): nodes by falling score per size while their sizes together stay within the budget."""
-    w = Window.orderBy(F.desc(F.round(F.col("score") / F.col("size"), 9)), "node")
-    # The budget bounds the answer: only nodes that could be among the first budget / min size are ordered.
-    least = scores.agg(F.min("size")).first()[0]
-    if not least:
-        return scores.limit(0)
-    top = scores.orderBy(F.desc(F.round(F.col("score") / F.col("size"), 9)), "node").limit(int(budget // least) + 1)
-    return top.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= budget)
+def cache_budget(scores: DataFrame, budget: float) -> DataFrame:
+    """scores(node, score, size): nodes by falling score per size, each taken if it still fits the budget; upto is the
+    budget used with it.
+
+    Each round takes the nodes up to the first that does not fit and goes on behind it. The budget bounds what is read:
+    of the nodes that may still fit, no more than the budget holds of the smallest are ordered.
+    """
+    rows = cut_lineage(scores.filter("size > 0").withColumn("_d", -F.round(F.col("score") / F.col("size"), 9)))
+    taken, used = [], 0
+    while True:
+        rows = rows.filter(F.col("size") <= budget - used)
+        least = rows.agg(F.min("size")).first()[0]
+        if least is None:
+            break
+        top = rows.orderBy("_d", "node").limit(int((budget - used) // least) + 1)
+        top = cut_lineage(running_total(top.withColumn("_s", F.col("size")), ["_d", "node"], "_s", "_u").withColumn("upto", F.col("_u") + used))
+        fits = top.filter(F.col("upto") <= budget)
+        taken.append(fits)
+        full = top.filter(F.col("upto") > budget).orderBy("_d", "node").select("_d", "node").first()
+        used = fits.agg(F.max("upto")).first()[0] or used
+        if full is None:
+            break
+        rows = rows.filter((F.col("_d") > full["_d"]) | ((F.col("_d") == full["_d"]) & (F.col("node") > full["node"])))
+    if not taken:
+        return scores.withColumn("upto", F.col("size")).limit(0)
+    return functools.reduce(DataFrame.unionByName, taken).select(*scores.columns, "upto")
 
 
 def delta_encode(states: DataFrame, eps: float, anchor: int) -> DataFrame:

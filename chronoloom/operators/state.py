@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .edges import position_within
 
 
 def mail_messages(events: DataFrame, memory: DataFrame) -> DataFrame:
@@ -14,21 +15,26 @@ def mail_messages(events: DataFrame, memory: DataFrame) -> DataFrame:
 
     The source gets [h_src, h_dst, feat], the target [h_dst, h_src, feat]; ties in ts go to the larger (eid, side).
     """
-    side = lambda a, b, k: events.select("batch", "eid", "ts", "feat", F.lit(k).alias("side"), F.col(a).alias("node"), F.col(b).alias("other"))
+    side = lambda a, b, k: events.select("batch", "eid", "ts", F.lit(k).alias("side"), F.col(a).alias("node"), F.col(b).alias("other"))
     rows = side("src", "dst", 0).unionByName(side("dst", "src", 1))
-    last = rows.groupBy("batch", "node").agg(F.max(F.struct("ts", "eid", "side", "other", "feat")).alias("m"))
+    last = rows.groupBy("batch", "node").agg(F.max(F.struct("ts", "eid", "side", "other")).alias("m"))
     own = memory.select("node", F.col("h").alias("_own"))
     other = memory.select(F.col("node").alias("_o"), F.col("h").alias("_other"))
-    joined = last.join(own, "node").join(other, F.col("m.other") == F.col("_o"))
-    return joined.select("batch", "node", F.col("m.ts").alias("ts"), F.col("m.eid").alias("eid"), F.concat("_own", "_other", "m.feat").alias("mail"))
+    feat = events.select(F.col("eid").alias("_e"), "feat")
+    joined = last.join(own, "node").join(other, F.col("m.other") == F.col("_o")).join(feat, F.col("m.eid") == F.col("_e"))
+    return joined.select("batch", "node", F.col("m.ts").alias("ts"), F.col("m.eid").alias("eid"), F.concat("_own", "_other", "feat").alias("mail"))
 
 
 def mailbox(messages: DataFrame, size: int) -> DataFrame:
     """messages(node, ts, pos, mail): what a ring of `size` holds in the end; slot is the ring position."""
-    w = Window.partitionBy("node")
-    i = F.row_number().over(w.orderBy("ts", "pos")).cast("long") - 1
-    n = F.count("*").over(w)
-    return messages.withColumns({"_i": i, "_n": n}).filter(F.col("_i") >= F.col("_n") - size).select("node", (F.col("_i") % size).alias("slot"), "ts", "pos", "mail")
+    placed = position_within(messages.select("node", "ts", "pos", "mail"), ["node"], ["ts", "pos"], "_i")
+    sizes = placed.groupBy("node").agg(F.count("*").alias("_n"))
+    return placed.join(sizes, "node").filter(F.col("_i") >= F.col("_n") - size).select("node", (F.col("_i") % size).alias("slot"), "ts", "pos", "mail")
+
+
+def mailbox_reset(box: DataFrame) -> DataFrame:
+    """Every slot kept, with a mail of zeros that came at time 0."""
+    return box.withColumns({"mail": F.transform("mail", lambda x: F.lit(0.0)), "ts": F.lit(0).cast("long")})
 
 
 def mailbox_read(nodes: DataFrame, box: DataFrame, size: int) -> DataFrame:

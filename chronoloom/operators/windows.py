@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .edges import assign_position
+from ..session import cut_lineage
+from .edges import assign_position, position_within, running_total
 
 
 def slot_boundaries_by_event(edges: DataFrame, per_slot: int) -> list[int]:
     """Greedy: from a boundary advance to the first ts at which at least per_slot more events have come; last max + 1.
 
-    The (ts, count) table is folded on the driver: one row for each distinct time, in units of the time model.
+    Every time gets the boundary that would follow it, by a running count cut into pieces of per_slot events. The chain
+    from the first boundary is found by doubling: each round joins the jumps of one length to jumps of twice that
+    length. Only the boundaries, and one time for each piece, come to the driver.
     """
-    out: list[int] = []
-    seen, goal, last = 0, per_slot, None
-    for r in edges.groupBy("ts").count().orderBy("ts").toLocalIterator():
-        if last is None:
-            out.append(r["ts"])
-        seen, last = seen + r["count"], r["ts"]
-        if seen >= goal:
-            if r["ts"] != out[-1]:
-                out.append(r["ts"])
-            goal = seen + per_slot
-    if last is not None:
-        out.append(last + 1)
-    return out
+    counted = running_total(edges.filter("ts IS NOT NULL").groupBy("ts").agg(F.count("*").alias("n")), ["ts"], "n", "upto")
+    first, last, begin = counted.agg(F.min("ts"), F.max("ts"), F.min(F.when(F.col("upto") >= per_slot, F.col("ts")))).first()
+    if first is None:
+        return []
+    piece = F.expr(f"_u div {per_slot}")
+    points = counted.select("ts", F.col("upto").alias("_u"), F.lit(1).alias("_o"), F.lit(None).cast("long").alias("_from"))
+    asks = counted.select(F.lit(None).cast("long").alias("ts"), (F.col("upto") + per_slot).alias("_u"), F.lit(0).alias("_o"), F.col("ts").alias("_from"))
+    behind = Window.partitionBy("_k").orderBy(F.desc("_u"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    found = points.unionByName(asks).withColumn("_k", piece).withColumn("_next", F.min("ts").over(behind)).filter("_o = 0")
+    starts = sorted((r["_k"], r["ts"]) for r in points.groupBy(piece.alias("_k")).agg(F.min("ts").alias("ts")).collect())  # a row for each piece
+    # An ask lies one piece behind its own time; where that has no later time, the next piece with one answers.
+    after = [(k + 1, next((t for q, t in starts[i + 1 : i + 3] if q > k + 1), None)) for i, (k, _) in enumerate(starts)]
+    table = edges.sparkSession.createDataFrame(after, "_k long, _after long")
+    jump = cut_lineage(found.join(F.broadcast(table), "_k").select(F.col("_from").alias("ts"), F.coalesce("_next", "_after").alias("next")).filter("next IS NOT NULL"))
+    chain: set[int] = {first} if begin is None else {first, begin}
+    reached = edges.sparkSession.createDataFrame([(begin,)] if begin is not None else [], "ts long")
+    while True:
+        new = cut_lineage(reached.join(jump, "ts").select(F.col("next").alias("ts")))
+        times = [r["ts"] for r in new.collect()]
+        if not times:
+            return [*sorted(chain), last + 1]
+        chain.update(times)
+        reached = reached.unionByName(new)
+        jump = cut_lineage(jump.join(jump.select(F.col("ts").alias("next"), F.col("next").alias("far")), "next").select("ts", F.col("far").alias("next")))
 
 
 def slot_boundaries_linspace(lo: int, hi: int, n: int) -> list[float]:
@@ -70,8 +88,8 @@ def sliding_snapshots(edges: DataFrame, window: int, lags: int, *, skip: int = 0
 
 def subchunk(edges: DataFrame, max_events: int, by: tuple[str, ...] = ("part", "slot")) -> DataFrame:
     """Within (part, slot), ordered by (cluster, ts, eid): pieces of max_events edges."""
-    w = Window.partitionBy(*by).orderBy("cluster", "ts", "eid")
-    return edges.withColumn("sub", F.expr(f"(rn - 1) div {max_events}")) if "rn" in edges.columns else edges.withColumn("_rn", F.row_number().over(w)).withColumn("sub", F.expr(f"(_rn - 1) div {max_events}")).drop("_rn")
+    placed = position_within(edges, by, ["cluster", "ts", "eid"], "_i")
+    return placed.withColumn("sub", F.expr(f"_i div {max_events}")).drop("_i")
 
 
 def subchunk_balanced(edges: DataFrame, max_events: int, by: tuple[str, ...] = ("part", "slot")) -> DataFrame:
@@ -99,8 +117,13 @@ def cluster_to_part(stats: DataFrame, parts: int) -> DataFrame:
 
 
 def time_buckets(nodes: DataFrame, n: int = 8) -> DataFrame:
-    """nodes(part, node, avg_ts): nearly equal buckets by mean time in each part."""
-    return nodes.withColumn("bucket", F.ntile(n).over(Window.partitionBy("part").orderBy("avg_ts", "node")).cast("long") - 1)
+    """nodes(part, node, avg_ts): nearly equal buckets by mean time in each part, the first ones larger by one."""
+    placed = position_within(nodes, ["part"], ["avg_ts", "node"], "_i")
+    sizes = nodes.groupBy("part").agg(F.count("*").alias("_n"))
+    q, r = F.expr(f"_n div {n}"), F.col("_n") % n
+    late = r + F.try_divide(F.col("_i") - r * (q + 1), q).cast("long")
+    bucket = F.when(F.col("_i") < r * (q + 1), F.expr(f"_i div (_n div {n} + 1)")).otherwise(late)
+    return placed.join(F.broadcast(sizes), "part").withColumn("bucket", bucket).drop("_i", "_n")  # a row for each part
 
 
 def distinct_ts_prefix(edges: DataFrame) -> DataFrame:
@@ -110,8 +133,7 @@ def distinct_ts_prefix(edges: DataFrame) -> DataFrame:
 
 def ring_cursor(messages: DataFrame, size: int) -> DataFrame:
     """Slot of each message in a node's ring of `size`: the position in time order, modulo size."""
-    i = F.row_number().over(Window.partitionBy("node").orderBy("ts", "pos")).cast("long") - 1
-    return messages.withColumn("slot", i % size)
+    return position_within(messages, ["node"], ["ts", "pos"], "slot").withColumn("slot", F.col("slot") % size)
 
 
 def grouped_steps(ordinal: Column, size: int) -> Column:
@@ -123,37 +145,44 @@ def chunk_permutation(chunks: DataFrame, epoch: int, seed: int = 0, how: str = "
     """A random order of chunks for an epoch, the same on every run."""
     if how != "rand":
         raise ValueError(f"chunk order {how!r} is not implemented")
-    return assign_position(chunks.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(epoch), "chunk")), ["_h", "chunk"], "ord").drop("_h")
+    return assign_position(chunks.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.lit(epoch), "chunk"))), ["_h", "chunk"], "ord").drop("_h")
+
+
+def geometric_schedule(top: int, n: int) -> list[int]:
+    """n whole numbers from top down to 1, in steps of one ratio, rounded up; a single one is the top."""
+    if n < 2:
+        return [top] * n
+    ratio = top ** (1 / (n - 1))
+    rising = itertools.accumulate(itertools.repeat(ratio, n - 1), operator.mul, initial=1.0)
+    return sorted((min(top, math.ceil(x)) for x in rising), reverse=True)
+
+
+def parse_shares(text: str) -> list[float]:
+    """Comma-separated shares in (0, 1], none above the one before; empty fields do not count."""
+    shares = [float(field) for field in text.split(",") if field.strip()]
+    outside = [x for x in shares if not 0 < x <= 1]
+    if outside or shares != sorted(shares, reverse=True):
+        raise ValueError(f"shares must lie in (0, 1] and not rise: {text!r}")
+    return shares
 
 
 def chunk_decay(pattern: str, chunks: int, snaps: int, fulls: int) -> list[int]:
     """How many chunks each of the snaps - fulls older snapshots keeps, nearest first.
 
-    'auto:s' falls geometrically from ceil(chunks * s) to 1; else a comma-separated, not increasing list of shares.
+    'auto:s' falls geometrically from the share s of all chunks to one chunk; any other pattern lists the shares.
     """
-    if fulls > snaps:
+    older = snaps - fulls
+    if older < 0:
         raise ValueError("more full snapshots than snapshots")
-    n = snaps - fulls
-    if n <= 0:
-        return []
-    kind, _, share = pattern.partition(":")
-    if kind.lower() == "auto":
-        from math import ceil
-
-        top = ceil(chunks * min(max(float(share), 0.0), 1.0))
-        if top <= 0 or n == 1:
-            return [top] if top > 0 else []
-        ratio, level, out = top ** (1.0 / (n - 1)), 1.0, []
-        for _ in range(n):
-            out.append(min(ceil(level), top))
-            level *= ratio
-        return out[::-1]
-    from math import ceil
-
-    shares = [float(x) for x in pattern.split(",") if x.strip()]
-    if any(not 0 < x <= 1 for x in shares) or any(a < b for a, b in zip(shares, shares[1:])) or len(shares) < n:
-        raise ValueError(f"chunk decay needs {n} shares in (0, 1], none above the one before")
-    return [min(ceil(chunks * x), chunks) for x in shares[:n]]
+    whole = lambda share: min(chunks, math.ceil(chunks * share))
+    name, _, value = pattern.partition(":")
+    if name.strip().lower() == "auto":
+        top = whole(max(0.0, float(value)))
+        return geometric_schedule(top, older) if top else []
+    shares = parse_shares(pattern) if older else []
+    if len(shares) < older:
+        raise ValueError(f"{older} shares are needed: {pattern!r}")
+    return [whole(x) for x in shares[:older]]
 
 
 def chunk_decay_window(chunks: DataFrame, keep: list[int], fulls: int) -> DataFrame:

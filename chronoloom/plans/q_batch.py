@@ -10,6 +10,7 @@ from ..operators import formulas as X
 from ..operators import sampling as S
 from ..sources.adapters import Tables
 from .define import EDGES, EVENTS, NODES, query
+from .q_partition import FEATS
 from .q_sampling import BEFORE
 
 
@@ -90,6 +91,52 @@ def _(t: Tables):
     return B.async_snapshots(e, chunks, [(1200, 1900, [1]), (1500, 2500, [2, 3])]).select("query_id", "tag", "node", "ts", F.size("eids").cast("long").alias("n"))
 
 
+NEGATIVES = """, x AS (SELECT eid, ts AS t, dst, dst % 4 AS part, ts // 10 AS slot FROM e), pool AS (SELECT part, dst, row_number() OVER (PARTITION BY part ORDER BY dst) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n FROM (SELECT DISTINCT part, dst FROM x))"""
+
+
+@query("slot_batches", NODES + NEGATIVES + """, so AS (SELECT slot, (row_number() OVER (ORDER BY slot) - 1) // 4 AS step FROM (SELECT DISTINCT slot FROM x)),
+g AS (SELECT part, slot, eid, src AS node, t, 'pos' AS kind FROM x JOIN e USING (eid) UNION ALL
+  SELECT x.part, slot, eid, pool.dst, t, 'neg' FROM x JOIN pool ON pool.part = x.part AND pool.idx = (eid * 2654435761 + 2 * 40503) % n)
+SELECT step, part, slot, kind, eid, node, t FROM g JOIN so USING (slot)""")
+def _(t: Tables):
+    e = t.purchase_edges().withColumns({"part": F.col("dst") % 4, "slot": F.expr("ts div 10")})
+    negative = B.negatives(e, num_set=3, part="part").join(e.select("eid", "slot"), "eid").select("part", "slot", "neg_set", "eid", "node", "t")
+    positive = e.select("part", "slot", "eid", F.col("src").alias("node"), F.col("ts").alias("t"))
+    return B.slot_batches(positive, negative, 4, epoch=5).select("step", "part", "slot", "kind", "eid", "node", "t")
+
+
+INPUTS = BLOCK + """, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)""" + FEATS + """, bn AS (SELECT node % 4 AS part, root_id AS local_id, node, t AS ts FROM r2 UNION ALL SELECT r2.node % 4, src_local, nbr, ts FROM b JOIN r2 USING (root_id)),
+ml AS (SELECT * FROM (SELECT node, ts, w, row_number() OVER (PARTITION BY node ORDER BY ts DESC, eid DESC, side DESC) AS k FROM (SELECT eid, ts, w, 0 AS side, src AS node FROM e UNION ALL SELECT eid, ts, w, 1, dst FROM e)) WHERE k = 1),
+hi AS (SELECT src AS node, ts // 100 * 100 AS ts, sum(w) AS h FROM e GROUP BY 1, 2)"""
+
+
+@query("batch_inputs", INPUTS + """ SELECT bn.part, bn.local_id, bn.node, bn.node % 4 <> bn.part AS is_remote, ft.x0 AS x, ft.x1 AS mem, bn.node % 100 AS mem_ts, ml.w AS mail, ml.ts AS mail_ts, hi.h AS hist, hi.ts AS hist_ts
+FROM bn JOIN ft USING (node) JOIN ml ON ml.node = bn.node ASOF LEFT JOIN hi ON hi.node = bn.node AND hi.ts <= bn.ts""")
+def _(t: Tables):
+    from ..operators import state as T
+    from .q_partition import node_features
+
+    e = t.purchase_edges()
+    every = E.nodes(e)
+    sources, links = block(t)
+    owner = every.select("node", F.pmod("node", F.lit(4)).alias("part"))
+    roots = t.roots().count()
+    first = sources.filter(F.col("local_id") < roots).join(owner, "node").select("part", "local_id", "node", "ts")
+    rest = sources.filter(F.col("local_id") >= roots).join(links.select(F.col("src_local").alias("local_id"), F.col("dst_local").alias("_r")), "local_id").join(first.select(F.col("local_id").alias("_r"), "part"), "_r")
+    x = node_features(t, every, 2)
+    memory = x.select("node", F.get("x", F.lit(1)).alias("h"), (F.col("node") % 100).alias("ts"))
+    events = e.select(F.lit(0).alias("batch"), "eid", "src", "dst", "ts", F.array("w").alias("feat"))
+    mail = T.mail_messages(events, x.select("node", F.col("x").alias("h"))).select("node", "ts", F.get("mail", F.lit(4)).alias("mail"))
+    history = e.groupBy(F.col("src").alias("node"), F.expr("ts div 100 * 100").alias("ts")).agg(F.sum("w").alias("h"))
+    got = B.batch_inputs(first.unionByName(rest.select("part", "local_id", "node", "ts")), owner, x.select("node", F.get("x", F.lit(0)).alias("x")), memory, mail, history)
+    return got.select("part", "local_id", "node", "is_remote", "x", "mem", "mem_ts", "mail", "mail_ts", "hist", "hist_ts")
+
+
+@query("edge_inputs", BLOCK + " SELECT src_local, root_id AS dst_local, eid, dt, w AS f FROM b JOIN e USING (eid)")
+def _(t: Tables):
+    return B.edge_inputs(block(t)[1], t.purchase_edges().select("eid", F.col("w").alias("f"))).select("src_local", "dst_local", "eid", "dt", "f")
+
+
 # Formulas.
 
 
@@ -154,7 +201,13 @@ def _(t: Tables):
     return X.cache_topk(scores(t), 100)
 
 
-@query("cache_knapsack", SCORES + " SELECT node, score, size, upto::BIGINT AS upto FROM (SELECT *, sum(size) OVER (ORDER BY round(score / size::DOUBLE, 9) DESC, node) AS upto FROM sc) WHERE upto <= 300")
+#: Greedy by recursion along the order: a node that does not fit is passed over.
+KNAPSACK = SCORES + """, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(score / size::DOUBLE, 9) DESC, node) AS i FROM sc), kn AS (
+  WITH RECURSIVE g AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, FALSE AS took UNION ALL
+    SELECT o.i, CASE WHEN used + size <= 300 THEN used + size ELSE used END, used + size <= 300 FROM g JOIN o ON o.i = g.i + 1) SELECT * FROM g)"""
+
+
+@query("cache_knapsack", KNAPSACK + " SELECT node, score, size, used AS upto FROM kn JOIN o USING (i) WHERE took")
 def _(t: Tables):
     return X.cache_budget(scores(t), 300)
 

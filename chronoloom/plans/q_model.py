@@ -11,6 +11,7 @@ from ..operators import state as T
 from ..sources.adapters import Tables
 from .define import EDGES, NODES, query
 from .q_partition import FEATS, node_features
+from .q_stats import FEAT, SNAP
 
 
 def total(parts) -> str:
@@ -52,30 +53,45 @@ def emb(t: Tables):
     return t.table("embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda a: a.cast("double")).alias("x"))
 
 
-@query("softmax", f"WITH m AS ({EMB}), s AS (SELECT *, exp(x0) + exp(x1) + exp(x2) + exp(x3) AS z FROM m) SELECT vec_id, " + ", ".join(f"round(exp(x{i}) / z, 6) AS h{i}" for i in range(4)) + " FROM s")
+#: All 64 numbers of each vector.
+ALL = "SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings"
+
+
+def every(t: Tables):
+    return t.table("embeddings").select("vec_id", F.transform("embedding", lambda a: a.cast("double")).alias("x"))
+
+
+def digest(column):
+    """Of a vector, rounded to five digits."""
+    return F.md5(F.transform(column, lambda v: F.round(v * 1e5).cast("long")).cast("string")).alias("h_md5")
+
+
+DIGEST = "md5(list_transform({}, lambda v: round(v * 1e5)::BIGINT)::VARCHAR) AS h_md5"
+
+
+@query("softmax", f"WITH m AS ({ALL}), s AS (SELECT *, list_transform(x, lambda v: exp(v)) AS p FROM m) SELECT vec_id, {DIGEST.format('list_transform(p, lambda v: v / list_sum(p))')} FROM s")
 def _(t: Tables):
-    return rounded(emb(t).select("vec_id", V.softmax(F.col("x")).alias("h")), "h", 4, digits=6)
+    return every(t).select("vec_id", digest(V.softmax(F.col("x"))))
 
 
-@query("linear", f"WITH m AS ({EMB}) SELECT vec_id, " + ", ".join(f"round({lin(X4, V.weights(4, 3), j)}, 6) AS h{j}" for j in range(3)) + " FROM m")
+@query("linear", f"WITH m AS ({ALL}) SELECT vec_id, " + ", ".join(f"round(list_dot_product(x, {[row[j] for row in V.weights(64, 3)]}::DOUBLE[]), 5) AS h{j}" for j in range(3)) + " FROM m")
 def _(t: Tables):
-    return rounded(emb(t).select("vec_id", V.linear(F.col("x"), V.weights(4, 3)).alias("h")), "h", 3, digits=6)
+    return rounded(every(t).select("vec_id", V.linear(F.col("x"), V.weights(64, 3)).alias("h")), "h", 3, digits=5)
 
 
-@query("dot", f"WITH m AS ({EMB}) SELECT vec_id, round(x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3, 6) AS dot FROM m")
+@query("dot", f"WITH m AS ({ALL}) SELECT vec_id, round(list_dot_product(x, x), 6) AS dot FROM m")
 def _(t: Tables):
-    return emb(t).select("vec_id", F.round(V.dot(F.col("x"), F.col("x")), 6).alias("dot"))
+    return every(t).select("vec_id", F.round(V.dot(F.col("x"), F.col("x")), 6).alias("dot"))
 
 
-@query("layer_norm", f"WITH m AS ({EMB}), a AS (SELECT *, (x0 + x1 + x2 + x3) / 4 AS mu FROM m), b AS (SELECT *, ((x0 - mu) ** 2 + (x1 - mu) ** 2 + (x2 - mu) ** 2 + (x3 - mu) ** 2) / 4 AS va FROM a) SELECT vec_id, " + ", ".join(f"round((x{i} - mu) / sqrt(va + 1e-5), 5) AS h{i}" for i in range(4)) + " FROM b")
+@query("layer_norm", f"WITH m AS ({ALL}), a AS (SELECT *, list_avg(x) AS mu FROM m), b AS (SELECT *, list_avg(list_transform(x, lambda v: (v - mu) ** 2)) AS va FROM a) SELECT vec_id, {DIGEST.format('list_transform(x, lambda v: (v - mu) / sqrt(va + 1e-5))')} FROM b")
 def _(t: Tables):
-    return rounded(emb(t).select("vec_id", V.layer_norm(F.col("x")).alias("h")), "h", 4)
+    return every(t).select("vec_id", digest(V.layer_norm(F.col("x"))))
 
 
-@query("concat_vec", f"WITH m AS ({EMB}) SELECT vec_id, x0 AS h0, x1 AS h1, x2 AS h2, x3 AS h3, x0 AS h4, x1 AS h5 FROM m")
+@query("concat_vec", f"WITH m AS ({ALL}) SELECT vec_id, {DIGEST.format('x || x[1:2]')} FROM m")
 def _(t: Tables):
-    v = emb(t).select("vec_id", F.concat("x", F.slice("x", 1, 2)).alias("h"))
-    return v.select("vec_id", *[F.get("h", F.lit(i)).alias(f"h{i}") for i in range(6)])
+    return every(t).select("vec_id", digest(F.concat("x", F.slice("x", 1, 2))))
 
 
 @query("log1p_label", EDGES + " SELECT dst AS node, round(ln(count(*) + 1), 9) AS label FROM e GROUP BY dst")
@@ -186,18 +202,23 @@ def features2(t: Tables, e):
 WQ, WK, WV, WO = V.weights(4, 2, 1), V.weights(4, 2, 2), V.weights(4, 2, 3), V.weights(4, 2, 5)
 TE = ["cos(DT::DOUBLE * 1.0)", "cos(DT::DOUBLE * 1e-9::DOUBLE)"]
 QIN, KIN = ["d.x0", "d.x1", "1.0::DOUBLE", "1.0::DOUBLE"], ["s.x0", "s.x1", *[x.replace("DT", "(4000 - ts)") for x in TE]]
-ATT = NODES + FEATS + ", k AS (SELECT eid, e.dst, d.x0 AS o0, d.x1 AS o1, " + ", ".join(f"{lin(QIN, WQ, j)} AS q{j}, {lin(KIN, WK, j)} AS k{j}, {lin(KIN, WV, j)} AS v{j}" for j in range(2)) + """ FROM e JOIN ft s ON s.node = e.src JOIN ft d ON d.node = e.dst),
-sc AS (SELECT *, (q0 * k0 + q1 * k1) / sqrt(2.0::DOUBLE) AS raw FROM k), sl AS (SELECT *, CASE WHEN raw >= 0 THEN raw ELSE raw * 0.2 END AS score FROM sc), ex AS (SELECT *, exp(score - max(score) OVER (PARTITION BY dst)) AS x FROM sl), al AS (SELECT *, x / sum(x) OVER (PARTITION BY dst) AS alpha FROM ex),
-hs AS (SELECT dst AS node, sum(v0 * alpha) AS a0, sum(v1 * alpha) AS a1, any_value(o0) AS o0, any_value(o1) AS o1 FROM al GROUP BY dst), ou AS (SELECT node, """ + ", ".join(f"greatest({lin(['a0', 'a1', 'o0', 'o1'], WO, j)}, 0) AS y{j}" for j in range(2)) + """ FROM hs), nm AS (SELECT *, (y0 + y1) / 2 AS mu FROM ou), vr AS (SELECT *, ((y0 - mu) ** 2 + (y1 - mu) ** 2) / 2 AS va FROM nm)"""
 
 
-@query("attention_layer", ATT + " SELECT node, round((y0 - mu) / sqrt(va + 1e-5), 4) AS h0, round((y1 - mu) / sqrt(va + 1e-5), 4) AS h1 FROM vr")
+def attention(edges: str, feats: str, p: str) -> str:
+    """CTEs of one layer over edges(eid, src, dst, ts) and feats(node, x0, x1); the result is {p}o(node, x0, x1)."""
+    return f""", {p}k AS (SELECT r.eid, r.dst, d.x0 AS o0, d.x1 AS o1, {", ".join(f"{lin(QIN, WQ, j)} AS q{j}, {lin(KIN, WK, j)} AS k{j}, {lin(KIN, WV, j)} AS v{j}" for j in range(2))} FROM {edges} r JOIN {feats} s ON s.node = r.src JOIN {feats} d ON d.node = r.dst),
+{p}s AS (SELECT *, (q0 * k0 + q1 * k1) / sqrt(2.0::DOUBLE) AS raw FROM {p}k), {p}l AS (SELECT *, CASE WHEN raw >= 0 THEN raw ELSE raw * 0.2 END AS score FROM {p}s), {p}x AS (SELECT *, exp(score - max(score) OVER (PARTITION BY dst)) AS x FROM {p}l), {p}a AS (SELECT *, x / sum(x) OVER (PARTITION BY dst) AS alpha FROM {p}x),
+{p}h AS (SELECT dst AS node, sum(v0 * alpha) AS a0, sum(v1 * alpha) AS a1, any_value(o0) AS o0, any_value(o1) AS o1 FROM {p}a GROUP BY dst), {p}u AS (SELECT node, {", ".join(f"greatest({lin(['a0', 'a1', 'o0', 'o1'], WO, j)}, 0) AS y{j}" for j in range(2))} FROM {p}h),
+{p}n AS (SELECT *, (y0 + y1) / 2 AS mu FROM {p}u), {p}o AS MATERIALIZED (SELECT node, (y0 - mu) / sqrt(((y0 - mu) ** 2 + (y1 - mu) ** 2) / 2 + 1e-5) AS x0, (y1 - mu) / sqrt(((y0 - mu) ** 2 + (y1 - mu) ** 2) / 2 + 1e-5) AS x1 FROM {p}n)"""
+
+
+@query("attention_layer", NODES + FEATS + attention("e", "ft", "at1") + " SELECT node, round(x0, 4) AS h0, round(x1, 4) AS h1 FROM at1o")
 def _(t: Tables):
     e = t.purchase_edges().withColumn("dt", F.lit(4000) - F.col("ts"))
     return rounded(M.attention_layer(e, features2(t, e), WQ, WK, WV, WO), "x", 2, digits=4)
 
 
-@query("graph_attention")
+@query("graph_attention", NODES + FEATS + ", rv AS (SELECT eid, src, dst, ts FROM e UNION ALL SELECT eid, dst, src, ts FROM e)" + attention("rv", "ft", "at1") + ", f2 AS MATERIALIZED (SELECT node, greatest(x0, 0) AS x0, greatest(x1, 0) AS x1 FROM at1o)" + attention("rv", "f2", "at2") + " SELECT node, round(x0, 4) AS h0, round(x1, 4) AS h1 FROM at2o")
 def _(t: Tables):
     e = E.reverse_edges(t.purchase_edges().withColumn("dt", F.lit(4000) - F.col("ts")))
     return rounded(M.graph_attention(e, features2(t, e), [(WQ, WK, WV, WO)] * 2), "x", 2, digits=4)
@@ -242,7 +263,19 @@ def _(t: Tables):
     return emb(t).select("vec_id", *[F.round(F.get(v, F.lit(j)), 6).alias(f"{n}{j}") for n, v in (("h", h), ("c", c)) for j in range(2)])
 
 
-@query("snap_state_carry")
+def carried(rows: str) -> str:
+    """CTE cy(node, i, h0, h1, c0, c1): the LSTM state of two numbers along rows(node, i, x0, x1), i from 1."""
+    gates = ", ".join(f"{lin(['x0', 'x1', 'h0', 'h1'], LG, j)} AS g{j}" for j in range(8))
+    cells = ", ".join(f"{SIG.format(f'g{2 + j}')} * c{j} + {SIG.format(f'g{j}')} * tanh(g{6 + j}) AS n{j}" for j in range(2))
+    return f""", cy AS (WITH RECURSIVE st AS (SELECT DISTINCT node, 0::BIGINT AS i, 0::DOUBLE AS h0, 0::DOUBLE AS h1, 0::DOUBLE AS c0, 0::DOUBLE AS c1 FROM {rows} UNION ALL
+  SELECT node, i, {", ".join(f"{SIG.format(f'g{4 + j}')} * tanh(n{j})" for j in range(2))}, n0, n1 FROM (SELECT *, {cells} FROM (SELECT st.node, r.i, c0, c1, {gates} FROM st JOIN {rows} r ON r.node = st.node AND r.i = st.i + 1))) SELECT * FROM st),
+la AS (SELECT node, arg_max(h0, i) AS h0, arg_max(h1, i) AS h1 FROM cy GROUP BY node)"""
+
+
+CARRY = FEAT + ", fx AS MATERIALIZED (SELECT node, row_number() OVER (PARTITION BY node ORDER BY snap) AS i, ln(1 + in_w) AS x0, ln(1 + out_w) AS x1 FROM f)" + carried("fx")
+
+
+@query("snap_state_carry", CARRY + " SELECT node, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM la")
 def _(t: Tables):
     from ..operators.stats import snapshot_features
     from .q_stats import snaps
@@ -251,7 +284,14 @@ def _(t: Tables):
     return rounded(T.lstm_over_snapshots(x, V.weights(4, 8, 1), 2), "h", 2, digits=6)
 
 
-@query("mpnn_lstm")
+M1, M2, MY = V.weights(2, 3, 1), V.weights(3, 2, 2), V.weights(2, 1, 3)
+MPNN = SNAP + f""", iw AS (SELECT snap, dst, sum(w) AS iw FROM s GROUP BY 1, 2), ow AS (SELECT snap, src, sum(w) AS ow FROM s GROUP BY 1, 2), g AS (SELECT snap, src, dst, w / sqrt(iw * ow) AS norm FROM s JOIN iw USING (snap, dst) JOIN ow USING (snap, src)),
+bo AS MATERIALIZED (SELECT snap, src, dst, norm FROM g UNION ALL SELECT snap, dst, src, norm FROM g), p1 AS (SELECT snap, dst AS node, sum(norm) AS q0, sum((src % 7) / 7.0::DOUBLE * norm) AS q1 FROM bo GROUP BY 1, 2),
+l1 AS MATERIALIZED (SELECT snap, node, {", ".join(f"greatest({lin(['q0', 'q1'], M1, j)}, 0) AS y{j}" for j in range(3))} FROM p1), p2 AS (SELECT bo.snap, bo.dst AS node, {", ".join(f"sum(y{i} * norm) AS z{i}" for i in range(3))} FROM bo JOIN l1 ON l1.snap = bo.snap AND l1.node = bo.src GROUP BY 1, 2),
+fx AS MATERIALIZED (SELECT node, row_number() OVER (PARTITION BY node ORDER BY snap) AS i, {", ".join(f"{lin(['z0', 'z1', 'z2'], M2, j)} AS x{j}" for j in range(2))} FROM p2)""" + carried("fx")
+
+
+@query("mpnn_lstm", MPNN + f" SELECT node, round({lin(['greatest(h0, 0)', 'greatest(h1, 0)'], MY, 0)}, 6) AS y FROM la")
 def _(t: Tables):
     from .q_stats import snaps
 
@@ -307,7 +347,17 @@ def _(t: Tables):
     return T.mailbox_read(E.nodes(e), b, 3).select("node", "slot", "ts", "pos")
 
 
-@query("memory_update")
+UG, UC, UX = V.weights(9, 4, 2), V.weights(9, 2, 7), V.weights(2, 2, 3)
+MAILED = ["h0", "h1", "o0", "o1", "w", "cos(ts::DOUBLE)", "cos(ts * 1e-9::DOUBLE)"]
+#: Memory of each node after its last message: a GRU over the message and the time since 0.
+MEMORY = NODES + FEATS + f""", r AS (SELECT eid, ts, w, 0 AS side, src AS node, dst AS other FROM e UNION ALL SELECT eid, ts, w, 1, dst, src FROM e),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, eid DESC, side DESC) AS k FROM r) WHERE k = 1),
+i AS (SELECT l.node, ts, w, a.x0 AS h0, a.x1 AS h1, c.x0 AS o0, c.x1 AS o1 FROM l JOIN ft a ON a.node = l.node JOIN ft c ON c.node = other),
+ga AS (SELECT *, {", ".join(f"{SIG.format(lin([*MAILED, 'h0', 'h1'], UG, j))} AS g{j}" for j in range(4))} FROM i), ca AS (SELECT *, {", ".join(f"tanh({lin([*MAILED, 'g2 * h0', 'g3 * h1'], UC, j)}) AS n{j}" for j in range(2))} FROM ga),
+me AS MATERIALIZED (SELECT node, {", ".join(f"(1 - g{j}) * n{j} + g{j} * h{j} AS x{j}" for j in range(2))}, ts FROM ca)"""
+
+
+@query("memory_update", MEMORY + " SELECT node, ts, round(x0, 6) AS h0, round(x1, 6) AS h1 FROM me")
 def _(t: Tables):
     e, ev = events(t)
     mem = memory(t, e).withColumn("ts", F.lit(0).cast("long"))
@@ -315,19 +365,24 @@ def _(t: Tables):
     return rounded(T.memory_update(mem, last, V.weights(9, 4, 2), V.weights(9, 2, 7)), "h", 2, digits=6)
 
 
+@query("mailbox_reset", BOX + " SELECT node, slot, pos, 0::BIGINT AS ts, 0.0::DOUBLE AS m0 FROM bx")
+def _(t: Tables):
+    return T.mailbox_reset(box(t)[1]).select("node", "slot", "pos", "ts", F.get("mail", F.lit(0)).alias("m0"))
+
+
 @query("state_write", NODES + FEATS + " SELECT node, CASE WHEN node % 4 = 1 THEN x0 * 2 ELSE x0 END AS x FROM ft")
 def _(t: Tables):
     s = node_features(t, E.nodes(t.purchase_edges())).select("node", F.get("x", F.lit(0)).alias("x"))
     return T.state_write(s, s.filter(F.col("node") % 4 == 1).withColumn("x", F.col("x") * 2))
 
 
-@query("broadcast_update", NODES + ", halo AS (SELECT DISTINCT b.part AS target, src AS node FROM e JOIN p a ON a.node = src JOIN p b ON b.node = dst WHERE a.part <> b.part) SELECT node, count(*)::BIGINT AS pushes FROM halo WHERE node IN (SELECT src FROM e WHERE ts > 3000) GROUP BY node")
+@query("broadcast_update", NODES + ", halo AS (SELECT DISTINCT b.part AS target, src AS node FROM e JOIN p a ON a.node = src JOIN p b ON b.node = dst WHERE a.part <> b.part) SELECT node, count(*)::BIGINT AS pushes FROM halo WHERE node IN (SELECT src FROM e) GROUP BY node")
 def _(t: Tables):
     from ..operators import partition as P
     from .q_stats import graph as parted
 
     e, p = parted(t)
-    fresh = e.filter("ts > 3000").select(F.col("src").alias("node")).distinct()
+    fresh = e.select(F.col("src").alias("node")).distinct()
     return P.halo_nodes(e, p).join(fresh, "node", "left_semi").groupBy("node").agg(F.count("*").alias("pushes"))
 
 
@@ -359,7 +414,7 @@ def _(t: Tables):
     return T.epoch_reset(memory(t, e).withColumn("ts", F.lit(5).cast("long"))).select("node", "ts", F.get("h", F.lit(0)).alias("h0"))
 
 
-@query("tgn_forward")
+@query("tgn_forward", MEMORY + f", tx AS MATERIALIZED (SELECT node, {', '.join(f'x{j} + {lin(["x0", "x1"], UX, j)} AS x{j}' for j in range(2))} FROM me)" + attention("e", "tx", "at1") + " SELECT node, round(x0, 4) AS h0, round(x1, 4) AS h1 FROM at1o")
 def _(t: Tables):
     e, ev = events(t)
     mem = T.memory_update(memory(t, e).withColumn("ts", F.lit(0).cast("long")), T.mail_messages(ev.withColumn("batch", F.lit(0)), memory(t, e)), V.weights(9, 4, 2), V.weights(9, 2, 7))

@@ -12,13 +12,18 @@ from .define import EDGES, NODES, query
 from .q_edges import HOT
 from .q_stats import BOOK, graph
 
-FEATS = ", ft AS (SELECT node, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM n JOIN embeddings ON vec_id = node % (SELECT count(*) FROM embeddings))"
+FEATS = ", vn AS (SELECT node, node % c AS vec_id FROM n, (SELECT count(*) AS c FROM embeddings)), ft AS MATERIALIZED (SELECT node, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM vn JOIN embeddings USING (vec_id))"
 
 
-def node_features(t: Tables, nodes, d: int = 4):
+#: All numbers of a node's embedding, as a list.
+WHOLE = ", fw AS MATERIALIZED (SELECT node, embedding::DOUBLE[] AS x FROM vn JOIN embeddings USING (vec_id))"
+
+
+def node_features(t: Tables, nodes, d: int | None = 4):
+    """node, x: the first d numbers of the node's embedding, or all."""
     v = t.table("embeddings")
     n = v.count()
-    x = v.select("vec_id", F.transform(F.slice("embedding", 1, d), lambda a: a.cast("double")).alias("x"))
+    x = v.select("vec_id", F.transform(F.slice("embedding", 1, d) if d else F.col("embedding"), lambda a: a.cast("double")).alias("x"))
     return nodes.withColumn("vec_id", F.col("node") % n).join(x, "vec_id").select("node", "x")
 
 
@@ -52,16 +57,16 @@ def _(t: Tables):
     return P.edge_owner(*graph(t), by="src").select("eid", "part")
 
 
-@query("replica_lookup", BOOK + " SELECT eid AS pos, node, part AS rank, loc FROM e JOIN book ON node = src WHERE ts >= 3000")
+@query("replica_lookup", BOOK + " SELECT eid AS pos, node, part AS rank, loc FROM e JOIN book ON node = src")
 def _(t: Tables):
-    batch = t.purchase_edges().filter("ts >= 3000").select(F.col("eid").alias("pos"), F.col("src").alias("node"))
-    return P.replica_lookup(batch, P.replicas(book(t))).select("pos", "node", "rank", "loc")
+    e, p = graph(t)
+    return P.replica_lookup(e.select(F.col("eid").alias("pos"), F.col("src").alias("node")), P.replicas(P.partition_book(e, p))).select("pos", "node", "rank", "loc")
 
 
-@query("g2l_lookup", BOOK + " SELECT n.node, coalesce(loc, -1) AS loc FROM n LEFT JOIN (SELECT * FROM book WHERE part = 2) b USING (node)")
+@query("g2l_lookup", BOOK + ", q AS (SELECT node, part FROM n, (SELECT DISTINCT part FROM p)) SELECT q.part, q.node, coalesce(loc, -1) AS loc FROM q LEFT JOIN book b ON b.node = q.node AND b.part = q.part")
 def _(t: Tables):
     e, p = graph(t)
-    return P.g2l_lookup(p.select("node"), P.partition_book(e, p), 2)
+    return P.g2l_lookup(p.select("node"), P.partition_book(e, p)).select("part", "node", "loc")
 
 
 @query("owner_lookup", NODES + " SELECT eid, a.part AS src_part, b.part AS dst_part FROM e JOIN p a ON a.node = src JOIN p b ON b.node = dst")
@@ -102,10 +107,8 @@ def _(t: Tables):
 
 @query("dist_ids", NODES + ", l AS (SELECT node, part, row_number() OVER (PARTITION BY part ORDER BY node) - 1 AS loc FROM p), o AS (SELECT eid, p.part, row_number() OVER (PARTITION BY p.part ORDER BY eid) - 1 AS loc FROM e JOIN p ON p.node = dst) SELECT 'node' AS kind, node AS id, (part << 48) | loc AS dist_id FROM l UNION ALL SELECT 'edge', eid, (part << 48) | loc FROM o")
 def _(t: Tables):
-    from pyspark.sql.window import Window
-
     e, p = graph(t)
-    number = lambda df, key, kind: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), P.pack_dist_id(F.col("part"), F.row_number().over(Window.partitionBy("part").orderBy(key)).cast("long") - 1).alias("dist_id"))
+    number = lambda df, key, kind: E.position_within(df.select("part", key), ["part"], [key], "_l").select(F.lit(kind).alias("kind"), F.col(key).alias("id"), P.pack_dist_id(F.col("part"), F.col("_l")).alias("dist_id"))
     return number(p, "node", "node").unionByName(number(P.edge_owner(e, p), "eid", "edge"))
 
 
@@ -124,23 +127,24 @@ def _(t: Tables):
 
 @query("cluster_louvain")
 def _(t: Tables):
-    return P.label_propagation(t.purchase_edges(), 3)
+    return P.modularity_clusters(t.purchase_edges())
 
 
 @query("cluster_metis")
 def _(t: Tables):
-    return P.hash_partition(E.nodes(t.purchase_edges()), 128)
+    return P.balanced_partition(t.purchase_edges(), 128, by_edges=False).select("node", "part")
 
 
 @query("inter_partition")
 def _(t: Tables):
-    return P.hash_partition(E.nodes(t.purchase_edges()), 4, seed=1)
+    return P.balanced_partition(t.purchase_edges(), 4).select("node", "part")
 
 
 @query("intra_partition")
 def _(t: Tables):
-    inner = graph(t)[1].filter("part = 1")
-    return P.hash_partition(inner, 100, seed=2).withColumnRenamed("part", "chunk")
+    e, p = graph(t)
+    inner = P.balanced_partition(e, 100, groups=p.select("node", F.col("part").alias("group")))
+    return inner.select("node", F.col("group").alias("part"), F.col("part").alias("chunk"), P.pack_chunk(F.col("group"), F.col("part")).alias("packed"))
 
 
 @query("build_route", BOOK + " SELECT owner AS sender, part AS receiver, node, row_number() OVER (PARTITION BY owner, part ORDER BY node) - 1 AS ord FROM halo")
@@ -155,10 +159,11 @@ def _(t: Tables):
     return P.partition_book(e, one).select("node", "loc", "is_owned")
 
 
-@query("halo_fetch", BOOK + FEATS + " SELECT part, node, is_owned, round(x0 + x1 + x2 + x3, 6) AS x_sum FROM book JOIN ft USING (node)")
+@query("halo_fetch", BOOK + FEATS + WHOLE + " SELECT part, node, is_owned, round(list_sum(x), 6) AS x_sum, len(x)::BIGINT AS d FROM book JOIN fw USING (node)")
 def _(t: Tables):
     e, p = graph(t)
-    return P.halo_fetch(node_features(t, p.select("node")), e, p).select("part", "node", "is_owned", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("x_sum"))
+    rows = P.halo_fetch(node_features(t, p.select("node"), None), e, p)
+    return rows.select("part", "node", "is_owned", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("x_sum"), F.size("x").cast("long").alias("d"))
 
 
 @query("reverse_route_sum", BOOK + " SELECT node, sum(loc)::DOUBLE AS x FROM book GROUP BY node")
@@ -189,11 +194,11 @@ def _(t: Tables):
     return e.select("eid").join(known, "eid", "left").select("eid", F.coalesce("label", F.lit(1)).alias("label"))
 
 
-@query("feature_gather", NODES + FEATS + " SELECT eid, x0, x1, x2, x3 FROM e JOIN ft ON node = src")
+@query("feature_gather", NODES + FEATS + WHOLE + " SELECT eid, md5(list_transform(x, lambda v: round(v * 1e6)::BIGINT)::VARCHAR) AS x_md5 FROM e JOIN fw ON node = src")
 def _(t: Tables):
     e = t.purchase_edges()
-    rows = e.select("eid", F.col("src").alias("node")).join(node_features(t, E.nodes(e)), "node")
-    return rows.select("eid", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(4)])
+    rows = e.select("eid", F.col("src").alias("node")).join(node_features(t, E.nodes(e), None), "node")
+    return rows.select("eid", F.md5(F.transform("x", lambda v: F.round(v * 1e6).cast("long")).cast("string")).alias("x_md5"))
 
 
 @query("state_read", NODES + FEATS + ", l AS (SELECT src AS node, max(ts) AS ts FROM e GROUP BY src) SELECT node, ts, x0, x1 FROM l JOIN ft USING (node)")

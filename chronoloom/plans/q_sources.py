@@ -12,6 +12,8 @@ from ..sources import readers as R
 from ..sources.adapters import Tables
 from ..streaming import replay as L
 from .define import EDGES, NODES, query
+from .q_batch import NEGATIVES
+from .q_partition import FEATS
 from .q_stats import BOOK, SLIDING, graph
 from .q_windows import REORDER, permutation
 
@@ -52,9 +54,9 @@ def _(t: Tables):
     return R.scan_snapshots(t.spark, path, R.Preset("purchases", 20, 2, r"\s+", 1, 3)).select("snap", "src", "dst", "w")
 
 
-@query("dataset_presets", "SELECT * FROM (VALUES ('ia-slashdot-reply-dir', 200, 30), ('rec-amazon-ratings', 100, 30), ('rec-amz-Books', 100, 0), ('soc-bitcoin', 100, 10), ('soc-flickr-growth', 100, 30), ('soc-youtube-growth', 100, 20), ('stackexch', 200, 30)) v(name, \"window\", lags)")
+@query("dataset_presets", "SELECT * FROM (VALUES ('ia-slashdot-reply-dir', 200, 30, FALSE), ('rec-amazon-ratings', 100, 30, TRUE), ('rec-amz-Books', 100, 0, FALSE), ('soc-bitcoin', 100, 10, TRUE), ('soc-flickr-growth', 100, 30, TRUE), ('soc-youtube-growth', 100, 20, TRUE), ('stackexch', 200, 30, FALSE)) v(name, \"window\", lags, enabled)")
 def _(t: Tables):
-    return t.spark.createDataFrame([(p.name, p.window, p.lags) for p in R.PRESETS], "name string, window int, lags int")
+    return t.spark.createDataFrame([(p.name, p.window, p.lags, p.enabled) for p in R.PRESETS], "name string, window int, lags int, enabled boolean")
 
 
 @query("source_discovery", "SELECT * FROM (VALUES ('a', 'edges.csv'), ('b', 'b.edges'), ('c', NULL)) v(name, found)")
@@ -67,10 +69,15 @@ def _(t: Tables):
     return t.spark.createDataFrame([(n, p and p.rsplit("/", 1)[1]) for n, p in found], "name string, found string")
 
 
-@query("scan_features", NODES + " SELECT node, 8::BIGINT AS width FROM n")
+@query("scan_features", NODES + FEATS + " SELECT node, x0::FLOAT::DOUBLE AS x0, x3::FLOAT::DOUBLE AS x3, 4::BIGINT AS width, 172::BIGINT AS drawn FROM ft")
 def _(t: Tables):
-    x = R.scan_features(t.spark, None, graph(t)[1], 8)
-    return x.select("node", F.size("x").cast("long").alias("width"))
+    from .q_partition import node_features
+
+    path, nodes = folder(t, "features"), graph(t)[1].select("node")
+    node_features(t, nodes).write.parquet(path)
+    x = R.scan_features(t.spark, path, nodes).select("node", F.get("x", F.lit(0)).cast("double").alias("x0"), F.get("x", F.lit(3)).cast("double").alias("x3"), F.size("x").cast("long").alias("width"))
+    drawn = R.scan_features(t.spark, f"{path}-absent", nodes).select("node", F.size("x").cast("long").alias("drawn"))
+    return x.join(drawn, "node")
 
 
 @query("load_dataset", EDGES + " SELECT eid, src, dst, ts FROM e")
@@ -112,12 +119,12 @@ def _(t: Tables):
     return t.spark.read.parquet(path).select("part", "kind", "eid")
 
 
-@query("sink_neg_batches", NODES + " SELECT (dst % 4)::INT AS part, s::INT AS neg_set, count(*)::BIGINT AS n FROM e, (SELECT unnest(range(8)) AS s) GROUP BY 1, 2")
+@query("sink_neg_batches", NODES + NEGATIVES + " SELECT x.part::INT AS part, s::INT AS neg_set, eid, pool.dst AS node FROM x, (SELECT unnest(range(8)) AS s) JOIN pool ON pool.part = x.part AND pool.idx = (eid * 2654435761 + s * 40503) % n")
 def _(t: Tables):
     path = folder(t, "negatives")
     e = t.purchase_edges().withColumn("part", F.col("dst") % 4)
     R.sink_batches(B.negatives(e, num_set=8, part="part").withColumn("kind", F.lit("neg")), path)
-    return t.spark.read.parquet(path).groupBy("part", "neg_set").agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(path).select("part", "neg_set", "eid", "node")
 
 
 @query("sink_meta", EDGES + ", b AS (SELECT i::INT AS slot, 1000 + 500 * i AS ts_start, 1500 + 500 * i AS ts_end FROM (SELECT unnest(range(6)) AS i)) SELECT slot, ts_start::BIGINT AS ts_start, ts_end::BIGINT AS ts_end, count(e.eid)::BIGINT AS n FROM b LEFT JOIN e ON ts >= ts_start AND ts < ts_end GROUP BY 1, 2, 3")
@@ -130,14 +137,15 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{path}/slots").join(counts, "slot", "left").select("slot", "ts_start", "ts_end", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("sink_context", BOOK + " SELECT part::INT AS part, count(*)::BIGINT AS nodes FROM book GROUP BY part")
+@query("sink_context", BOOK + FEATS + " SELECT 'node' AS kind, part::INT AS part, node AS id, loc, round(x0, 6) AS x FROM book JOIN ft USING (node) UNION ALL SELECT 'edge', p.part::INT, eid, ts, w FROM e JOIN p ON p.node = dst")
 def _(t: Tables):
     from .q_partition import node_features
 
     path = folder(t, "context")
     e, p = graph(t)
     R.sink_context(P.partition_book(e, p), node_features(t, p.select("node")), P.edge_owner(e, p), path)
-    return t.spark.read.parquet(f"{path}/nodes").groupBy("part").agg(F.count("*").alias("nodes"))
+    nodes = t.spark.read.parquet(f"{path}/nodes").select(F.lit("node").alias("kind"), "part", F.col("node").alias("id"), "loc", F.round(F.get("x", F.lit(0)), 6).alias("x"))
+    return nodes.unionByName(t.spark.read.parquet(f"{path}/edges").select(F.lit("edge").alias("kind"), "part", F.col("eid").alias("id"), F.col("ts").alias("loc"), F.col("w").alias("x")))
 
 
 @query("sink_perm", REORDER + " SELECT new_id, node FROM pm")
@@ -156,7 +164,7 @@ def _(t: Tables):
     return R.scan_log(t.spark, path)
 
 
-@query("inspect_batch")
+@query("inspect_batch", EDGES + ", c AS (SELECT count(*)::BIGINT AS n, count(DISTINCT dst)::BIGINT AS d FROM e), f AS (SELECT unnest(['dst_local', 'n', 'indices', 'ts', 'eid', 'dt']) AS field) SELECT field, CASE WHEN field IN ('dst_local', 'n') THEN 'bigint' ELSE 'array<bigint>' END AS type, CASE WHEN field IN ('dst_local', 'n') THEN d ELSE n END AS entries, CASE WHEN field IN ('dst_local', 'n') THEN d ELSE n END * 8 / 1e6::DOUBLE AS mb, TRUE AS wide FROM f, c")
 def _(t: Tables):
     return R.inspect_batch(B.build_csc(t.purchase_edges().select(F.col("dst").alias("dst_local"), "ts", F.lit(0).cast("long").alias("dt"), "eid", F.col("src").alias("src_local"))))
 
@@ -169,22 +177,29 @@ def _(t: Tables):
     return t.spark.createDataFrame([(i, j, x) for i, row in enumerate(w) for j, x in enumerate(row)], "i long, j long, w double")
 
 
-# Streams.
+# Streams: the events replayed in several micro-batches.
+
+
+def replayed(t: Tables):
+    path = folder(t, "replay")
+    L.stage(t.table("events").select("event_id", "ts", "user_id", "event_type", "value", "props"), path, 4)
+    return L.event_stream(t.spark, path)
+
 
 
 @query("stream_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 1 day, ts))::BIGINT AS begin, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY 1")
 def _(t: Tables):
-    got = L.drain(L.windowed(L.event_stream(t.spark, t.sf_dir), "1 day"), "complete")
+    got = L.drain(L.windowed(replayed(t), "1 day"), "update", "window")
     return got.select(F.unix_micros("window.start").alias("begin"), "n", F.round("value", 4).alias("value"))
 
 
 @query("stream_sliding", "SELECT epoch_us(b)::BIGINT AS begin, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM (SELECT value, unnest([time_bucket(INTERVAL 12 hour, ts), time_bucket(INTERVAL 12 hour, ts) - INTERVAL 12 hour]) AS b FROM events) GROUP BY 1")
 def _(t: Tables):
-    got = L.drain(L.windowed(L.event_stream(t.spark, t.sf_dir), "1 day", "12 hours"), "complete")
+    got = L.drain(L.windowed(replayed(t), "1 day", "12 hours"), "update", "window")
     return got.select(F.unix_micros("window.start").alias("begin"), "n", F.round("value", 4).alias("value"))
 
 
 @query("stream_mailbox", "SELECT user_id AS node, event_id AS pos, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 10 AS slot FROM events")
 def _(t: Tables):
-    m = L.event_stream(t.spark, t.sf_dir).select(F.col("user_id").alias("node"), F.unix_micros("ts").alias("ts"), F.col("event_id").alias("pos"))
+    m = replayed(t).select(F.col("user_id").alias("node"), F.unix_micros("ts").alias("ts"), F.col("event_id").alias("pos"))
     return L.drain(L.mailbox_stream(m, 10)).select("node", "pos", "slot")

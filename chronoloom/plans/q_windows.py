@@ -105,12 +105,10 @@ def _(t: Tables):
 
 @query("order_hubs", NODES + ", d AS (SELECT node, part, count(e.eid) AS in_deg FROM p LEFT JOIN e ON dst = node GROUP BY ALL) SELECT part, node, row_number() OVER (PARTITION BY part ORDER BY in_deg DESC, node) - 1 AS ord FROM d")
 def _(t: Tables):
-    from pyspark.sql.window import Window
-
     e, p = graph(t)
     deg = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_deg"))
-    rows = p.join(deg, "node", "left").withColumn("in_deg", F.coalesce("in_deg", F.lit(0)))
-    return rows.select("part", "node", (F.row_number().over(Window.partitionBy("part").orderBy(F.desc("in_deg"), "node")).cast("long") - 1).alias("ord"))
+    rows = p.join(deg, "node", "left").select("part", "node", (-F.coalesce("in_deg", F.lit(0))).alias("_d"))
+    return E.position_within(rows, ["part"], ["_d", "node"], "ord").select("part", "node", "ord")
 
 
 @query("rcm_order")
@@ -174,7 +172,7 @@ def _(t: Tables):
     return slots(t).select("slot", W.grouped_steps(F.col("ord"), 100).alias("mega"))
 
 
-@query("chunk_permutation")
+@query("chunk_permutation", SLOTS + " SELECT slot AS chunk, row_number() OVER (ORDER BY md5('0|3|' || slot), slot) - 1 AS ord FROM s")
 def _(t: Tables):
     return W.chunk_permutation(slots(t).select(F.col("slot").alias("chunk")), epoch=3)
 
