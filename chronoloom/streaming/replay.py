@@ -7,17 +7,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, shared_folder
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share: beside the checkpoints."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/chronoloom'}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
 
+def stage(events: DataFrame, path: str, pieces: int) -> None:
+    """A replay of a finished table: files of consecutive time, written one after the other, oldest first."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(edges, edges[1:]):
+        inside = (F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi)
+        events.filter(inside).write.mode("append").parquet(path)
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The events table as a stream, one micro-batch for each few files."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
+
+def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Files of events as a stream, one micro-batch for each few files, oldest first."""
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -27,17 +45,34 @@ def windowed(events: DataFrame, width: str, slide: str | None = None, late: str
     return events.withWatermark("ts", late).groupBy(w).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into Parquet in the shared folder, and read it back."""
-    spark = stream.sparkSession
-    out = scratch(spark, "stream")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    else:
-        keep = lambda df, _epoch: df.write.mode("overwrite").parquet(f"{out}/rows")  # noqa: E731  complete output replaces the last
-        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+def run(stream: DataFrame, folder: str, mode: str = "append") -> None:
+    """Process all that is there and stop. Rows go to {folder}/rows with their micro-batch as micro_batch; a later run with
+    the same folder goes on from the state in {folder}/state."""
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        # Written again under its own name if a batch is repeated after a failure.
+        df.write.mode("overwrite").parquet(f"{folder}/rows/micro_batch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+
+
+def rows_of(spark: SparkSession, folder: str, key: str | None = None) -> DataFrame:
+    """What run() wrote; with a key, the last row of each (for update mode)."""
+    rows = spark.read.parquet(f"{folder}/rows")
+    if key is None:
+        return rows.drop("micro_batch")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "micro_batch")]), "micro_batch").alias("_r")).select(key, "_r.*")
+
+
+def drain(stream: DataFrame, mode: str = "append", key: str | None = None) -> DataFrame:
+    """The rows of one run(); its folder is removed again."""
+    spark = stream.sparkSession
+    folder = scratch(spark, "stream")
+    run(stream, folder, mode)
+    rows = cut_lineage(rows_of(spark, folder, key))
+    remove(spark, folder)
+    return rows
 
 
 def mailbox_stream(messages: DataFrame, size: int) -> DataFrame:

@@ -16,12 +16,18 @@ def test_skips_head_and_rejects_other_widths(spark, tmp_path):
         R.scan_edges_ws(spark, str(bad)).collect()
 
 
+def test_skips_the_head_of_every_file(spark, tmp_path):
+    for name, lines in (("a", ["1 2 5", "3 4 6"]), ("b", ["5 6 7"]), ("c", [])):
+        (tmp_path / name).write_text("\n".join(["% head", "% of two lines", *lines]) + "\n")
+    assert sorted(r.src for r in R.scan_edges_ws(spark, str(tmp_path)).collect()) == [1, 3, 5]
+
+
 def test_discovery_and_presets(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "x.edges").write_text("1 2 3\n")
     assert R.discover(spark, str(tmp_path), "x").endswith("x.edges")
     assert R.discover(spark, str(tmp_path), "y") is None
-    assert len({p.name for p in R.PRESETS}) == 7
+    assert len({p.name for p in R.PRESETS}) == 7 and sum(p.enabled for p in R.PRESETS) == 4
 
 
 def test_features_do_not_depend_on_partitions(spark):
