@@ -154,7 +154,7 @@ def steps(t: Tables):
 
 @query("ema_heat", STEPS + ", o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY step) AS i FROM s) SELECT a.node, a.step, round(sum(0.25::DOUBLE * b.deg * pow(0.75::DOUBLE, a.i - b.i)), 6) AS heat FROM o a JOIN o b ON a.node = b.node AND b.i <= a.i GROUP BY 1, 2")
 def _(t: Tables):
-    return X.ema(steps(t), 0.25).withColumn("heat", F.round("heat", 6))
+    return X.ema(steps(t), 0.25).withColumn("heat", F.round(F.round("heat", 12), 6))  # halves are exact in SQL
 
 
 @query("hawkes_intensity", EVENTS + ", h AS (SELECT src, dst, ts // 3600000000 AS ts FROM e), x AS (SELECT DISTINCT src, dst, ts FROM h) SELECT x.src, x.dst::BIGINT AS dst, x.ts, round(0.1 + coalesce(sum(0.5::DOUBLE * exp(-0.05::DOUBLE * (x.ts - h.ts))), 0), 6) AS intensity FROM x LEFT JOIN h ON h.src = x.src AND h.dst = x.dst AND h.ts < x.ts GROUP BY 1, 2, 3")
