@@ -23,14 +23,28 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a staged file at which a replay gets more pieces than asked for.
+PIECE_ROWS = 2_000_000
+
+
 def stage(events: DataFrame, path: str, pieces: int) -> None:
-    """A replay of a finished table: files of consecutive time, written one after the other, oldest first."""
+    """A replay of a finished table: files of consecutive time, written one after the other, oldest first.
+
+    A piece is one file, however many tasks read the table: a stream takes its files by their age, and two files of one
+    piece would hold the same stretch of time. Large tables get more pieces.
+    """
+    spark = events.sparkSession
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(edges, edges[1:]):
-        inside = (F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi)
-        events.filter(inside).write.mode("append").parquet(path)
+    pieces = max(pieces, -(-events.count() // PIECE_ROWS))
+    cuts = events.agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or [] if pieces > 1 else []
+    cuts = sorted(set(cuts))
+    # Null times come last.
+    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= at))
+    parts = scratch(spark, "pieces")
+    events.withColumn("_piece", F.when(at.isNull(), len(cuts)).otherwise(piece)).repartition(len(cuts) + 1, "_piece").write.partitionBy("_piece").parquet(parts)
+    for (i,) in sorted(spark.read.parquet(parts).select("_piece").distinct().collect()):  # a row for each piece
+        spark.read.schema(events.schema).parquet(f"{parts}/_piece={i}").repartition(1).write.mode("append").parquet(path)
+    remove(spark, parts)
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:

@@ -59,3 +59,14 @@ def test_replay_is_in_order_and_leaves_nothing(spark, sf_dir, tmp_path):
     assert spark.read.parquet(path).count() == events.count()
     got = L.drain(mail(spark, path))
     assert got.count() == events.count() and got.select("ts").distinct().count() == events.select("ts").distinct().count()
+
+
+def test_mailbox_of_a_table_read_by_many_tasks(spark, tmp_path):
+    rows = [event(i, (i * 7919) % 601, user=1 + i % 3) for i in range(600)]
+    path = str(tmp_path / "in")
+    L.stage(spark.createDataFrame(rows, L.EVENT_SCHEMA).repartition(5), path, 4)
+    got = L.drain(L.mailbox_stream(mail(spark, path), 10)).collect()
+    assert len(got) == 600
+    for user in (1, 2, 3):
+        mine = sorted((r.ts, r.pos, r.slot) for r in got if r.node == user)
+        assert [s for *_, s in mine] == [i % 10 for i in range(len(mine))]
