@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, pack
 
 
-def assign_position(df: DataFrame, order: Sequence[str], name: str = "eid", keep: Sequence[str] | None = None) -> DataFrame:
+def assign_position(df: DataFrame, order: Sequence[str], name: str = "eid", keep: Sequence[str | Column] | None = None, packed: bool = False) -> DataFrame:
     """Position of each row, from 0, in a declared unique order; nulls come first. keep: columns to carry, all if not given.
+    packed: written as compressed Parquet, for large tables of plain types.
 
     Rows are dealt by ranges of all order columns, sorted there and written once; a range's rows start where the counts
     of the ranges before end. No task holds more than a range, whatever the order columns' values.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The upper bits of this id are the partition, the lower 33 count its rows from 0.
-    placed = cut_lineage(ranged.select(*(keep if keep is not None else df.columns), F.monotonically_increasing_id().alias("_at")))
+    placed = (pack if packed else cut_lineage)(ranged.select(*(keep if keep is not None else df.columns), F.monotonically_increasing_id().alias("_at")))
     part = F.shiftright("_at", 33)
     counts = {r["_p"]: r["n"] for r in placed.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect()}  # a row for each range
     starts, begin = [], 0

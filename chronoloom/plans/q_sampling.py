@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import edges as E
 from ..operators import sampling as S
+from ..session import pack
 from ..sources.adapters import Tables
 from .define import EDGES, query
 
@@ -23,7 +24,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 @query("sample_recent", BEFORE + " SELECT node, t, nbr, ts, eid, dt, rank FROM j WHERE rank <= 10")
 def _(t: Tables):
-    return tidy(S.sample_recent(t.purchase_edges(), t.roots(), 10, direction="out"))
+    return tidy(S.sample_recent(t.purchase_edges(), t.asks(), 10, direction="out"))
 
 
 @query("edge_rank", EDGES + " SELECT src AS node, dst AS nbr, ts, eid, row_number() OVER (PARTITION BY src ORDER BY ts, eid) AS rn FROM e")
@@ -40,12 +41,12 @@ def _(t: Tables):
 
 @query("sample_cpu_recent", BEFORE + " SELECT node, t, nbr, ts, eid, dt, rank FROM j WHERE rank <= 3")
 def _(t: Tables):
-    return tidy(S.sample_recent(t.purchase_edges(), t.roots(), 3, direction="out", time_bucket=365))
+    return tidy(S.sample_recent(t.purchase_edges(), t.asks(), 3, direction="out", time_bucket=365))
 
 
 @query("dedup_overlap", BEFORE + " SELECT node, count(*)::BIGINT AS requests, count(DISTINCT eid)::BIGINT AS edges FROM j WHERE rank <= 10 GROUP BY node")
 def _(t: Tables):
-    got = S.sample_recent(t.purchase_edges(), t.roots(), 10, direction="out")
+    got = S.sample_recent(t.purchase_edges(), t.asks(), 10, direction="out")
     return got.groupBy("node").agg(F.count("*").alias("requests"), F.countDistinct("eid").alias("edges"))
 
 
@@ -58,12 +59,12 @@ def summed(df: DataFrame) -> DataFrame:
 
 @query("sample_full", BEFORE + FULL)
 def _(t: Tables):
-    return summed(S.sample_full(t.purchase_edges(), t.roots(), direction="out"))
+    return summed(S.sample_full(t.purchase_edges(), t.asks(), direction="out"))
 
 
 @query("sample_cluster_c", BEFORE + FULL)
 def _(t: Tables):
-    return summed(S.sample(t.purchase_edges(), t.roots(), "cluster", direction="out"))
+    return summed(S.sample(t.purchase_edges(), t.asks(), "cluster", direction="out"))
 
 
 def floyd(k: int) -> str:
@@ -79,7 +80,7 @@ def floyd(k: int) -> str:
 @query("sample_uniform", BEFORE + f""", roots AS (SELECT DISTINCT node, t, cut FROM j WHERE cut > 5), d AS ({floyd(5)}), k AS (SELECT j.* FROM j LEFT JOIN d USING (node, t) WHERE j.cut <= 5 OR pos IN (s1, s2, s3, s4, s5))
 SELECT node, t, nbr, ts, eid, dt, row_number() OVER (PARTITION BY node, t ORDER BY ts, eid) AS rank FROM k""")
 def _(t: Tables):
-    return tidy(S.sample_uniform(t.purchase_edges(), t.roots(), 5, direction="out"))
+    return tidy(S.sample_uniform(t.purchase_edges(), t.asks(), 5, direction="out"))
 
 
 def window_sql(start: int, end: int, where: str = "", k: str = "") -> str:
@@ -89,12 +90,12 @@ def window_sql(start: int, end: int, where: str = "", k: str = "") -> str:
 
 @query("sample_full_d", window_sql(-60, 0))
 def _(t: Tables):
-    return tidy(S.sample_window(t.purchase_edges(), t.roots(), -60, 0, direction="out"))
+    return tidy(S.sample_window(t.purchase_edges(), t.asks(), -60, 0, direction="out"))
 
 
 @query("sample_uniform_d", window_sql(-200, 0, k="WHERE rank <= 3"))
 def _(t: Tables):
-    return tidy(S.sample(t.purchase_edges(), t.roots(), "uniform", 3, graph_type="d", start=-200, end=0, direction="out"))
+    return tidy(S.sample(t.purchase_edges(), t.asks(), "uniform", 3, graph_type="d", start=-200, end=0, direction="out"))
 
 
 @query("sample_cluster_d", EDGES + """, c AS (SELECT *, eid % 4 AS cluster FROM e), r AS (SELECT DISTINCT src AS node, ts AS t, cluster FROM c)
@@ -109,12 +110,12 @@ def _(t: Tables):
 @query("sample_window_offset", ROOTS + """, j AS (SELECT node, t, dst AS nbr, ts, eid, t - ts AS dt, row_number() OVER (PARTITION BY node, t ORDER BY ts DESC, eid DESC) AS rank
   FROM r JOIN e ON src = node AND ts <= t AND ts >= t - 100) SELECT * FROM j WHERE rank <= 10""")
 def _(t: Tables):
-    return tidy(S.sample_recent(t.purchase_edges(), t.roots(), 10, direction="out", window=100, equal_root_time=True))
+    return tidy(S.sample_recent(t.purchase_edges(), t.asks(), 10, direction="out", window=100, equal_root_time=True))
 
 
 @query("sample_keep_root_time", BEFORE + " SELECT node, t, nbr, t AS ts, eid, dt, rank FROM j WHERE rank <= 4")
 def _(t: Tables):
-    return tidy(S.sample_recent(t.purchase_edges(), t.roots(), 4, direction="out", keep_root_time=True))
+    return tidy(S.sample_recent(t.purchase_edges(), t.asks(), 4, direction="out", keep_root_time=True))
 
 
 DISPATCH = {"no such policy": "rank <= 2", 0: "rank <= 2", "recent": "rank <= 2", "full": "rank > 0", 3: "rank > 0", 2: "rank > 0"}
@@ -122,10 +123,10 @@ DISPATCH = {"no such policy": "rank <= 2", 0: "rank <= 2", "recent": "rank <= 2"
 
 @query("sample_dispatch", BEFORE + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, node, t, count(*)::BIGINT AS n, sum(eid)::BIGINT AS eid_sum, sum(rank * dt)::BIGINT AS ranked FROM j WHERE {where} GROUP BY node, t" for p, where in DISPATCH.items()))
 def _(t: Tables):
-    e, roots, out = t.purchase_edges(), t.roots(), None
-    for policy in DISPATCH:
-        got = S.sample(e, roots, policy, 2, direction="out").groupBy("node", "t").agg(F.count("*").alias("n"), F.sum("eid").alias("eid_sum"), F.sum(F.col("rank") * F.col("dt")).alias("ranked"))
-        got = got.select(F.lit(str(policy)).alias("policy"), "node", "t", "n", "eid_sum", "ranked")
+    e, out = t.purchase_edges(), None
+    for policy, served in S.dispatch(list(DISPATCH)).items():
+        got = S.sample(e, t.asks(), policy, 2, direction="out").groupBy("node", "t").agg(F.count("*").alias("n"), F.sum("eid").alias("eid_sum"), F.sum(F.col("rank") * F.col("dt")).alias("ranked"))
+        got = pack(got).select(F.explode(F.array(*[F.lit(str(p)) for p in served])).alias("policy"), "node", "t", "n", "eid_sum", "ranked")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -133,13 +134,13 @@ def _(t: Tables):
 @query("sample_nearest", ROOTS + """, j AS (SELECT node, t, dst AS nbr, ts, eid, t - ts AS dt, row_number() OVER (PARTITION BY node, t ORDER BY abs(ts - t), ts, eid) AS rank
   FROM r JOIN e ON src = node) SELECT * FROM j WHERE rank <= 3""")
 def _(t: Tables):
-    return tidy(S.sample_nearest(t.purchase_edges(), t.roots(), 3, direction="out"))
+    return tidy(S.sample_nearest(t.purchase_edges(), t.asks(), 3, direction="out"))
 
 
 @query("sample_bloom_distinct", ROOTS + """, j AS (SELECT node, t, dst AS nbr, ts, eid, row_number() OVER (PARTITION BY node, t, dst ORDER BY ts DESC, eid DESC) AS d FROM r JOIN e ON src = node AND ts <= t),
 k AS (SELECT node, t, nbr, ts, eid, t - ts AS dt, row_number() OVER (PARTITION BY node, t ORDER BY ts DESC, eid DESC) AS rank FROM j WHERE d = 1) SELECT * FROM k WHERE rank <= 5""")
 def _(t: Tables):
-    return tidy(S.sample_distinct(t.purchase_edges(), t.roots(), 5, direction="out"))
+    return tidy(S.sample_distinct(t.purchase_edges(), t.asks(), 5, direction="out"))
 
 
 UNDIRECTED = EDGES + """, u AS (SELECT eid, src, dst, ts FROM e UNION ALL SELECT eid, dst, src, ts FROM e), r AS (SELECT DISTINCT src AS node, ts AS t FROM e),
@@ -151,20 +152,20 @@ h1 AS (SELECT * FROM (SELECT node, t, src AS nbr, ts, eid, t - ts AS dt, row_num
 @query("khop_recent_2", UNDIRECTED + " SELECT 0 AS layer, * FROM h0 UNION ALL SELECT 1, * FROM h1")
 def _(t: Tables):
     e = t.purchase_edges().select("eid", "src", "dst", "ts")
-    return S.khop_sample(E.reverse_edges(e), t.roots(), [5, 5]).select("layer", "node", "t", "nbr", "ts", "eid", "dt", "rank")
+    return S.khop_sample(E.reverse_edges(e), t.asks(), [5, 5]).select("layer", "node", "t", "nbr", "ts", "eid", "dt", "rank")
 
 
 @query("khop_sample", UNDIRECTED + " SELECT 0 AS layer, count(*)::BIGINT AS n, sum(eid)::BIGINT AS eid_sum, sum(dt)::BIGINT AS dt_sum FROM h0 UNION ALL SELECT 1, count(*)::BIGINT, sum(eid)::BIGINT, sum(dt)::BIGINT FROM h1")
 def _(t: Tables):
     e = t.purchase_edges().select("eid", "src", "dst", "ts")
-    got = S.khop_sample(E.reverse_edges(e), t.roots(), [5, 5])
+    got = S.khop_sample(E.reverse_edges(e), t.asks(), [5, 5])
     return got.groupBy("layer").agg(F.count("*").alias("n"), F.sum("eid").alias("eid_sum"), F.sum("dt").alias("dt_sum"))
 
 
 @query("khop_offsets_relative", UNDIRECTED + " SELECT h1.node, h1.t, count(*)::BIGINT AS n, max(h1.ts) AS last_ts, count(*) FILTER (h1.ts >= h1.t)::BIGINT AS violations FROM h1 GROUP BY 1, 2")
 def _(t: Tables):
     e = t.purchase_edges().select("eid", "src", "dst", "ts")
-    second = S.khop_sample(E.reverse_edges(e), t.roots(), [5, 5]).filter("layer = 1")
+    second = S.khop_sample(E.reverse_edges(e), t.asks(), [5, 5]).filter("layer = 1")
     return second.groupBy("node", "t").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.count_if(F.col("ts") >= F.col("t")).alias("violations"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def pack(df: DataFrame) -> DataFrame:
+    """cut_lineage() of a large table, in a fifth of the disk: as compressed Parquet. Columns of plain types only.
+
+    The files lie in the folder of the checkpoint of an empty table that the plan refers to, so they go when it goes.
+    Shuffle files of the plan behind are of no more use; Spark removes them when the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    mark = cut_lineage(spark.range(1))
+    path = f"{mark._jdf.logicalPlan().rdd().getCheckpointFile().get()}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    none = mark.filter("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return spark.read.schema(df.schema).parquet(path).unionByName(none)

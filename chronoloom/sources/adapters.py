@@ -30,16 +30,17 @@ class Tables:
         Numbered and written once for all uses in a query.
         """
         if self._purchases is None:
-            orders = self.table("orders").select("o_orderkey", "o_custkey")
-            rows = self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-                *LINE_KEY,
-                F.col("o_custkey").alias("src"),
+            orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("src"))
+            rows = self.table("lineitem").select(*LINE_KEY, F.col("l_quantity").alias("w"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+            rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+            kept = (
+                "src",
                 (F.col("l_partkey") + DST_BASE).alias("dst"),
                 F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("ts"),
-                F.col("l_quantity").alias("w"),
-                (F.col("l_returnflag") == "R").cast("int").alias("label"),
+                "w",
+                "label",
             )
-            numbered = assign_position(rows, LINE_KEY, keep=("src", "dst", "ts", "w", "label"))
+            numbered = assign_position(rows, LINE_KEY, keep=kept, packed=True)
             self._purchases = numbered.select("eid", "src", "dst", "ts", "w", "label")
         return self._purchases
 
@@ -52,9 +53,13 @@ class Tables:
             F.col("event_id").alias("eid"), F.col("user_id").alias("src"), (F.col("_k") + 1 + DST_BASE).alias("dst"), ts.alias("ts"), F.col("value").alias("w")
         )
 
+    def asks(self) -> DataFrame:
+        """roots(), repeated as often as they occur: samples count them once."""
+        return self.purchase_edges().select(F.col("src").alias("node"), F.col("ts").alias("t"))
+
     def roots(self) -> DataFrame:
         """Every (source, its event time) of the purchase graph."""
-        return self.purchase_edges().select(F.col("src").alias("node"), F.col("ts").alias("t")).distinct()
+        return self.asks().distinct()
 
 
 def node_parts(nodes: DataFrame, parts: int = PARTS, clusters: int = CLUSTERS) -> DataFrame:
