@@ -12,6 +12,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from . import rows
+
 _LETTER, _NUMBER, _OTHER, _SPACE, _BLANK = range(5)  # _BLANK is U+0020, _SPACE any other white space
 _NONE = np.iinfo(np.int32).max
 _QUOTE = ord("'")
@@ -257,11 +259,10 @@ class Encoder:
             n = length[fresh]
             symbols = self.vocabulary.base[data[_ragged(begin[fresh], n)]]
             flat, counts = self.vocabulary.merge(symbols, n)
-            seen = np.concatenate((self.seen, distinct[~known]))
-            order = np.argsort(seen, kind="stable")
-            self.seen = seen[order]
-            self.seen_begin = np.concatenate((self.seen_begin, len(self.pool) + np.cumsum(counts) - counts))[order]
-            self.seen_count = np.concatenate((self.seen_count, counts))[order]
+            at = i[~known]
+            self.seen = np.insert(self.seen, at, distinct[~known])
+            self.seen_begin = np.insert(self.seen_begin, at, len(self.pool) + np.cumsum(counts) - counts)
+            self.seen_count = np.insert(self.seen_count, at, counts)
             self.pool = np.concatenate((self.pool, flat))
         return np.searchsorted(self.seen, distinct)[inverse]
 
@@ -292,6 +293,7 @@ def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        rows.release()  # the vocabulary's file as read here and by the library
     return _ENCODERS[path]
 
 

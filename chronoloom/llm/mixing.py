@@ -123,7 +123,7 @@ def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
         passes = min(passes, CAP)
         plan.append(Source(name, size, target, passes, max(0.0, target - passes * size) if passes < CAP else 0.0, max(1, min(MAX_BLOCKS, -(-size // block_words)))))
     fields = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_sid", T.LongType(), False), T.StructField("_source_size", T.LongType(), False), T.StructField("_target", T.DoubleType(), False), T.StructField("_passes", T.IntegerType(), False), T.StructField("_extra", T.DoubleType(), False), T.StructField("_blocks", T.LongType(), False)])
-    known = F.broadcast(spark.createDataFrame([(s.name, i, s.size, s.target, s.passes, s.extra, s.blocks) for i, s in enumerate(plan)], fields))  # at most MAX_SOURCES rows
+    known = F.broadcast(rows.small_table(spark, [(s.name, i, s.size, s.target, s.passes, s.extra, s.blocks) for i, s in enumerate(plan)], fields))  # at most MAX_SOURCES rows
 
     def blocked(x: DataFrame, name: Column) -> DataFrame:
         return x.join(known, name.eqNullSafe(F.col("_name"))).withColumn("_block", F.shiftright(F.col("_u") * F.col("_blocks"), 48))
@@ -161,7 +161,7 @@ def _planned(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, *, shards: int =
     dealt = split_quotas(quota, shards, seed)
     ends = np.cumsum(dealt, axis=1)
     runs = [(i, [int(e) for e in ends[i]]) for i in range(len(plan))]
-    runs_df = F.broadcast(spark.createDataFrame(runs, "_sid long, _ends array<long>"))
+    runs_df = F.broadcast(rows.small_table(spark, runs, "_sid long, _ends array<long>"))
     shard_of = F.size(F.filter("_ends", lambda e: e <= F.col("_rank")))
     homes = draws.join(runs_df, "_sid").withColumn("_shard", shard_of).groupBy("_sid", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", "_shard"))).alias("_homes"))  # at most CAP + 1 each
     table = rows.checkpoint(table.join(homes, ["_sid", "_block"], "left").select("_sid", "_block", "_cut", "_tie", "_last", F.coalesce(F.col("_homes")["_shard"], F.array().cast("array<int>")).alias("_homes")))

@@ -144,7 +144,7 @@ def step_groups(pieces: DataFrame, tokens: int) -> DataFrame:
     for r in sorted(counts, key=lambda r: (-r.tier, r["_task"])):
         starts.append((r["_task"], r.tier, at))
         at += r.n
-    table = F.broadcast(pieces.sparkSession.createDataFrame(starts, "_task long, tier int, _start long"))  # a row a task and size
+    table = F.broadcast(rows.small_table(pieces.sparkSession, starts, "_task long, tier int, _start long"))  # a row a task and size
     group = F.expr(f"CAST(CAST(_start + _before AS DECIMAL(20, 0)) * {-(-at // tokens)} DIV {max(at, 1)} AS LONG)")
     return pieces.withColumn("_task", task).join(table, ["_task", "tier"]).select(*[group.alias("step_group") if c == "_before" else F.col(f"`{c}`") for c in pieces.columns])
 
@@ -195,7 +195,7 @@ def pack(df: DataFrame, path: str | None = None, *, window: int = WINDOW, tiers:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
         held, tokens = [], 0
-        for batch in rows.slices(batches, text):
+        for batch in rows.slices(batches, text, rows.FINE):
             key_type = batch.schema.field(0).type
             data, offsets = text_bytes(batch, text)
             flat, counts = coder.encode(data, offsets)

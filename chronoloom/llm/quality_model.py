@@ -191,18 +191,19 @@ def score(df: DataFrame, model: tuple[float, np.ndarray], *, key: str = "doc_id"
     """
     meta = F.col(chars).try_cast("double") if chars in df.columns else F.lit(None).cast("double")
     carried = [key, *(c for c in keep if c not in (key, "score", "predicted"))]
+    place = f"c{carried.index(text)}" if text in carried else "_text"  # a text that is carried goes to the worker once
     bias, table = model
     small = (bias, table.astype(np.float32))
-    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(text).alias("_text"), meta.alias("_chars"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-2]) + ", score double, predicted int"
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], *[F.col(text).alias("_text")] * (text not in carried), meta.alias("_chars"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[: len(carried)]) + ", score double, predicted int"
 
     def run(batches):
-        for batch in rows.slices(batches, "_text"):
-            data, offsets = text_bytes(batch, "_text")
+        for batch in rows.slices(batches, place, rows.FINE):
+            data, offsets = text_bytes(batch, place)
             doc, k, v = features(data, offsets, batch.column(batch.num_columns - 1).cast(pa.float64()).to_numpy(zero_copy_only=False))
             z = raw_scores(small, doc, k, v, len(offsets) - 1)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-2], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names[: len(carried)], "score", "predicted"])
 
     return rows.arrow_map(source, run, schema).toDF(*carried, "score", "predicted")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,11 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six characters that separate words: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Text bytes of a slice whose arrays take some hundred times as much.
+FINE = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +78,27 @@ def masked(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], list[Column]
     return df.toDF(*new), lambda c: new[names.index(c)], [F.col(n).alias(c) for n, c in zip(new, names, strict=True)]
 
 
+def release() -> None:
+    """Gives what this process has freed back to the system; Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(batches):
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def small_table(spark: SparkSession, values: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A table of the driver's rows, read by the JVM as Arrow. Given as a list they would start a second set of Python
+    workers on each executor."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([v[i] for v in values], f.type) for i, f in enumerate(arrow)], schema=arrow), fields)

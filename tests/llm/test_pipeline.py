@@ -2,9 +2,14 @@ from __future__ import annotations
 
 import collections
 import random
+import subprocess
+import sys
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +153,56 @@ def test_stages_take_odd_rows(spark, sf_dir, rows):
             model = quality_model.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
             assert quality_model.score(docs, model, keep=("text", "lang", "source", "n_chars")).count() == len(rows)
         assert stage(spark, docs, sf_dir).count() >= 0
+
+
+def test_quality_stage_sends_a_text_once_in_small_slices(spark, sf_dir, docs, monkeypatch):
+    """An executor's memory holds its workers, too: neither two copies of a batch's texts nor arrays of 100 times 1 MB."""
+    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    sent, plain_map = [], rows.arrow_map
+    monkeypatch.setattr(rows, "arrow_map", lambda df, fn, schema: sent.append((df, fn)) or plain_map(df, fn, schema))
+    got = quality_model.score(docs, model, keep=("text",))
+    df, fn = sent[0]
+    assert [t for _, t in df.dtypes].count("string") == 1 and got.columns == ["doc_id", "text", "score", "predicted"]
+    text = " ".join(f"word{i}" for i in range(1200))
+    values = {"bigint": list(range(400)), "string": [text] * 400, "double": [float(len(text))] * 400}
+    batch = pa.RecordBatch.from_pydict({name: values[kind] for name, kind in df.dtypes})
+    list(fn(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    scored = sum(b.num_rows for b in fn(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored == 400 and peak < 40e6
+
+
+def test_plans_start_no_second_set_of_workers(spark, sf_dir, docs, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a list of rows is read by Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert corpus_pipeline.STAGES[3][1](spark, docs, sf_dir).count() and corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).count()
+
+
+def test_workers_give_memory_back_after_a_task():
+    """200 MB in pieces that malloc keeps, below one that stays."""
+    code = """
+import re
+from chronoloom.llm import rows
+
+def own():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1e3
+
+def task(batches):
+    held, stays = [bytearray(b"x" * 100_000) for _ in range(2000)], bytearray(b"x" * 100_000)
+    del held
+    yield stays
+
+class Frame:
+    mapInArrow = staticmethod(lambda fn, schema: fn)
+
+run, before = rows.arrow_map(Frame, task, ""), own()
+kept = list(run(iter([])))
+print(own() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 50
